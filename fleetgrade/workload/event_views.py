@@ -23,13 +23,13 @@ def findings(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
     ev = table(spark, sf, "events").filter(where)
     rules = F.array(*[F.lit(r) for r in RULES])
     eqs = F.array(*[F.array(*[F.lit(e) for e in es]).cast("array<string>") for es in EQUIVALENTS])
-    line = (F.col("event_id") * 7 % 40).cast("int")
+    line = (F.col("event_id") * 7 % 15).cast("int")
     edit = F.struct(
         line.alias("line"), F.lit(1).alias("column"), (line + F.col("event_id") % 2).cast("int").alias("end_line"),
         F.lit(3).alias("end_column"), F.lit("x").alias("replacement"), F.element_at(rules, _k() % 12 + 1).alias("rule"),
     ).cast(EDIT)
     return ev.select(
-        F.concat(F.lit("r"), F.col("user_id") % 12, F.lit("/d"), F.col("user_id") % 5, F.lit("/s"), F.col("user_id") % 150, F.lit(".sh")).alias("path"),
+        F.concat(F.lit("r"), F.col("user_id") % 12, F.lit("/d"), F.col("user_id") % 5, F.lit("/s"), F.col("user_id") * 10 + F.col("event_id") % 7, F.lit(".sh")).alias("path"),
         F.concat(F.lit("r"), F.col("user_id") % 12).alias("repo"),
         F.element_at(F.array(*[F.lit(t) for t in TOOLS]), (F.col("event_id") % 5 + 1).cast("int")).alias("tool"),
         F.element_at(rules, _k() % 12 + 1).alias("rule"),
@@ -67,8 +67,8 @@ def _array(values, kind: str = "VARCHAR") -> str:
 
 
 FINDINGS_SQL = f"""
-ev0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(event_id * 7 % 40 AS INTEGER) AS ln FROM events),
-fnd AS (SELECT 'r' || (user_id % 12) || '/d' || (user_id % 5) || '/s' || (user_id % 150) || '.sh' AS path,
+ev0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(event_id * 7 % 15 AS INTEGER) AS ln FROM events),
+fnd AS (SELECT 'r' || (user_id % 12) || '/d' || (user_id % 5) || '/s' || (user_id * 10 + event_id % 7) || '.sh' AS path,
   'r' || (user_id % 12) AS repo,
   {_array(TOOLS)}[event_id % 5 + 1] AS tool,
   CAST(event_id % 5 AS INTEGER) AS tool_ix,

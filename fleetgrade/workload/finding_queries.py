@@ -350,12 +350,12 @@ def run_gate_outputs(spark: SparkSession, sf: str) -> DataFrame:
 @query("calibrate", w("""SELECT s.path, s."global", s.grade, CASE WHEN l.q = 1 THEN s.grade IN ('A','B','C') ELSE s.grade IN ('C','D','E') END AS grade_ok,
  CAST(NOT EXISTS (SELECT 1 FROM fnd f WHERE f.path = s.path AND f.rule = 'SEC009') AS BIGINT) AS missing,
  CAST(EXISTS (SELECT 1 FROM fnd f WHERE f.path = s.path AND f.rule = 'B105') AS BIGINT) AS forbidden
- FROM scr s JOIN fls USING (path) JOIN (SELECT 's' || (doc_id % 150) AS s, max(quality) AS q FROM labels GROUP BY 1) l ON regexp_extract(s.path, '(s\\d+)\\.sh', 1) = l.s""", PEN, SCR))
+ FROM scr s JOIN fls USING (path) JOIN (SELECT 's' || doc_id AS s, max(quality) AS q FROM labels GROUP BY 1) l ON regexp_extract(s.path, '(s\\d+)\\.sh', 1) = l.s""", PEN, SCR))
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     from fleetgrade.workload.registry import table
 
     f, files, _, scr = scored(spark, sf)
-    per = table(spark, sf, "labels").groupBy(F.concat(F.lit("s"), F.col("doc_id") % 150).alias("s")).agg(F.max("quality").alias("q"))
+    per = table(spark, sf, "labels").groupBy(F.concat(F.lit("s"), F.col("doc_id")).alias("s")).agg(F.max("quality").alias("q"))
     labels = files.withColumn("s", F.regexp_extract("path", r"(s\d+)\.sh", 1)).join(per, "s").select(
         "path",
         F.when(F.col("q") == 1, F.array(*map(F.lit, "ABC"))).otherwise(F.array(*map(F.lit, "CDE"))).alias("grades"),
