@@ -100,10 +100,11 @@ def block_depth(spark: SparkSession, sf: str) -> DataFrame:
     return LN.block_depth(V.lexed(spark, sf))
 
 
-@query("secret_tokens", "SELECT doc_id, replace(text, chr(10), ' ') <> '' AS scanned, CAST(0 AS INTEGER) AS tokens FROM documents")
+@query("secret_tokens", w("SELECT path, line, 'Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eQ' AS token FROM sln WHERE raw LIKE '%Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eQ%' AND raw NOT LIKE '%sha256%'"))
 def secret_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", (F.replace("text", F.lit("\n"), F.lit(" ")) != "").alias("scanned"), F.size(LN.secret_tokens(F.col("text"))).alias("tokens"))
+    lines = LN.to_lines(V.files(spark, sf))
+    found = lines.select("path", "line", F.explode(LN.secret_tokens(F.col("raw"))).alias("token"))
+    return found.select("path", "line", F.regexp_replace("token", "^blob=", "").alias("token"))
 
 
 @query("unpinned_installs", w("SELECT path, line, raw FROM sln WHERE " + V._SPECIAL_SQL["unpinned"]))
