@@ -185,6 +185,6 @@ def host_shell_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Shell rules over the shell of all host files, meaningless ones dropped."""
     from fleetgrade.operators import shell_rules as SR
 
-    virtual = H.virtual_scripts(all_hosts(spark, sf)).withColumn("has_crlf", F.lit(False))
-    found = SR.shell_findings(cut(LN.mask_lines(virtual)), virtual)
+    virtual = cut(H.virtual_scripts(all_hosts(spark, sf)).withColumn("has_crlf", F.lit(False)))
+    found = SR.shell_findings(LN.mask_lines(virtual), virtual)
     return LN.drop_embedded_rules(found, virtual.select("path", "pipefail")).groupBy("rule").agg(F.count("*").alias("n"))

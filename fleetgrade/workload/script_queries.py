@@ -114,7 +114,7 @@ def unpinned_installs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("set_options", w("SELECT path, errexit, nounset, pipefail FROM sfg", V.FLAGS_SQL))
 def set_options(spark: SparkSession, sf: str) -> DataFrame:
-    return LN.set_options(LN.to_lines(V.files(spark, sf)))
+    return LN.set_options(V.files(spark, sf))
 
 
 _FLAGS = ("dialect", "total_lines", "code_lines", "comment_lines", "shebang", "errexit", "nounset", "pipefail", "pipes", "sets_path", "locks", "checkout",
@@ -123,7 +123,7 @@ _FLAGS = ("dialect", "total_lines", "code_lines", "comment_lines", "shebang", "e
 
 @query("file_flags", w("SELECT path, " + ", ".join(_FLAGS) + ", coalesce(array_to_string(managers, ','), '') AS managers FROM sfg", V.FLAGS_SQL))
 def file_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return LN.file_flags(V.lexed(spark, sf)).select("path", *_FLAGS, F.array_join("managers", ",").alias("managers"))
+    return LN.file_flags(V.shell_files(spark, sf), V.lexed(spark, sf)).select("path", *_FLAGS, F.array_join("managers", ",").alias("managers"))
 
 
 _HEAD_SQL = """shd AS (SELECT path, bool_or(ltrim(raw, E' \\t') LIKE '#%') AS head_comment FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS n
@@ -132,7 +132,7 @@ _HEAD_SQL = """shd AS (SELECT path, bool_or(ltrim(raw, E' \\t') LIKE '#%') AS he
 
 @query("head_comment", w("SELECT path, head_comment FROM shd", _HEAD_SQL))
 def head_comment(spark: SparkSession, sf: str) -> DataFrame:
-    return LN.head_comment(LN.to_lines(V.files(spark, sf)))
+    return V.files(spark, sf).select("path", LN.head_comment(LN.normalized(F.col("content"))).alias("head_comment"))
 
 
 @query("indent_profile", w("""SELECT path, CASE WHEN tabs > spaces THEN 0 ELSE greatest(1, least(8, coalesce(good, low, 2))) END AS indent FROM (SELECT path, any_value(tabs) AS tabs, any_value(spaces) AS spaces,
@@ -157,7 +157,7 @@ def anonymize(spark: SparkSession, sf: str) -> DataFrame:
 def _hits(spark: SparkSession, sf: str, prefix: str) -> DataFrame:
     lines = V.lexed(spark, sf)
     others = tuple({r.rule for r in SR.LINE_RULES if not r.rule.startswith(prefix)} | {"MNT001", "MNT003", "PERF004"})
-    hits = SR.line_rule_hits(lines, LN.file_flags(lines), others)
+    hits = SR.line_rule_hits(lines, LN.content_flags(V.shell_files(spark, sf)), others)
     return hits.groupBy("path", "line", "rule").agg(F.count("*").alias("n"))
 
 
@@ -177,7 +177,7 @@ for _prefix in ("SEC00", "SEC01", "SEC02", "ROB0", "MNT", "POR", "PERF"):
 def long_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = V.lexed(spark, sf)
     every = tuple({r.rule for r in SR.LINE_RULES} | {"MNT003", "PERF004"})
-    return SR.line_rule_hits(lines, LN.file_flags(lines), every).select("path", "line", "extra")
+    return SR.line_rule_hits(lines, LN.content_flags(V.shell_files(spark, sf)), every).select("path", "line", "extra")
 
 
 @query("long_functions", w("SELECT path, line, 'low' AS severity FROM sln WHERE raw LIKE 'big_function()%'"))
@@ -189,7 +189,7 @@ def long_functions(spark: SparkSession, sf: str) -> DataFrame:
 def deep_blocks(spark: SparkSession, sf: str) -> DataFrame:
     lines = V.lexed(spark, sf)
     every = tuple({r.rule for r in SR.LINE_RULES} | {"MNT001"})
-    return SR.line_rule_hits(lines, LN.file_flags(lines), every).select("path", "line", "rule", "extra")
+    return SR.line_rule_hits(lines, LN.content_flags(V.shell_files(spark, sf)), every).select("path", "line", "rule", "extra")
 
 
 _FILE_SQL = """x AS (SELECT f.*, coalesce(h.head_comment, false) AS hc, s.has_crlf FROM sfg f LEFT JOIN shd h USING (path) JOIN sfl s USING (path)),
@@ -204,8 +204,7 @@ fa AS (SELECT path, 'ROB009' AS rule, 0 AS line FROM x WHERE has_crlf UNION ALL
 
 @query("file_rules", w("SELECT path, rule, CAST(line AS INTEGER) AS line FROM fa", V.FLAGS_SQL, _HEAD_SQL, _FILE_SQL))
 def file_rules(spark: SparkSession, sf: str) -> DataFrame:
-    lines = V.lexed(spark, sf)
-    hits = SR.file_rule_hits(LN.file_flags(lines), LN.head_comment(lines), V.shell_files(spark, sf), 20)
+    hits = SR.file_rule_hits(LN.file_flags(V.shell_files(spark, sf), V.lexed(spark, sf)), 20)
     return hits.select("path", "rule", "line")
 
 
@@ -222,3 +221,21 @@ def drop_embedded_rules(spark: SparkSession, sf: str) -> DataFrame:
     hosts = V.files(spark, sf).filter("repo = 'repo3'").select("path", F.lit(True).alias("pipefail"))
     hits = file_rules(spark, sf).withColumn("tool", F.lit("builtin"))
     return LN.drop_embedded_rules(hits, hosts).select("path", "rule", "line")
+
+
+@query("analyze_fleet")
+def analyze_fleet(spark: SparkSession, sf: str) -> DataFrame:
+    """Scripts, host files and Python files of all tables through the whole analysis."""
+    from fleetgrade.plans.analyze import Options, analyze
+    from fleetgrade.workload.code_queries import python_files as py
+    from fleetgrade.workload.host_queries import all_hosts
+
+    fleet = V.files(spark, sf).select("path", "content").unionByName(py(spark, sf)).unionByName(all_hosts(spark, sf).select("path", "content"))
+    report = analyze(fleet.repartition(spark.sparkContext.defaultParallelism), Options(contexts=("cron",)))
+    return report.scores
+
+
+@query("analyze_codes", w("SELECT path, total_lines, code_lines, comment_lines FROM sfg", V.FLAGS_SQL))
+def analyze_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Line counts straight from the text of a file, as the analysis uses them."""
+    return LN.content_flags(V.shell_files(spark, sf)).select("path", "total_lines", "code_lines", "comment_lines")
