@@ -53,31 +53,33 @@ def raw_findings(model: DataFrame, options: Options, inventory: DataFrame | None
     limits = dims.PROFILES[options.profile]["thresholds"]
 
     shell_lines = LN.mask_lines(shell, limits["max_nesting"])
-    parts = [SR.shell_findings(shell_lines, shell, options.profile, options.contexts)]
+    # Every part is stored as soon as it is known: findings are few, and later steps plan over plain scans.
+    parts = [cut(SR.shell_findings(shell_lines, shell, options.profile, options.contexts))]
 
     virtual = cut(HF.virtual_scripts(hosts).withColumn("has_crlf", F.lit(False)))
     inside = SR.shell_findings(LN.mask_lines(virtual, limits["max_nesting"]), virtual, options.profile, options.contexts)
-    parts.append(LN.drop_embedded_rules(inside, virtual.select("path", "pipefail")))
+    parts.append(cut(LN.drop_embedded_rules(inside, virtual.select("path", "pipefail"))))
     host_hits = HF.host_rules(hosts).withColumn("position", (F.lit(2) * 10**12 + F.col("line") * 10**5 + F.crc32(F.concat_ws("|", "rule", "extra")) % 10**5).cast("bigint"))
-    parts.append(SR.as_findings(host_hits, options.contexts))
+    parts.append(cut(SR.as_findings(host_hits, options.contexts)))
 
     kinds = LN.python_lines(python)
-    py_hits = PY.python_rule_hits(kinds.select("path", "line", "raw"), cut(PY.python_facts(python)), LN.count_python_lines(kinds))
+    py_counts = cut(LN.count_python_lines(kinds))
+    py_hits = PY.python_rule_hits(LN.to_lines(python), cut(PY.python_facts(python)), py_counts)
     py_hits = py_hits.withColumn("position", (F.col("line").cast("bigint") * 1000 + F.crc32("rule") % 1000).cast("bigint"))
-    parts.append(SR.as_findings(py_hits, options.contexts))
+    parts.append(cut(SR.as_findings(py_hits, options.contexts)))
 
     if inventory is not None:
         missing = CM.missing_commands(CM.external_commands(shell_lines), CM.guarded_commands(shell_lines), inventory)
         missing = missing.withColumn("position", F.lit(3 * 10**12).cast("bigint") + F.crc32("extra"))
-        parts.append(SR.as_findings(missing, options.contexts))
+        parts.append(cut(SR.as_findings(missing, options.contexts)))
         imports = PY.python_imports(python, model, inventory)
         roots = model.select(F.regexp_extract("path", r"^([^/]*)", 1).alias("folder")).distinct()
         wrong = PY.check_imports(imports, PY.declared_for(python, PY.declared_deps(model), roots))
         wrong = SR.as_findings(wrong.withColumn("position", F.lit(4 * 10**12).cast("bigint") + F.crc32("extra")), options.contexts)
-        parts.append(wrong.withColumn("tool", F.lit("pydeps")))
+        parts.append(cut(wrong.withColumn("tool", F.lit("pydeps"))))
     if options.custom:
         text = LN.to_lines(model, "dialect")
-        parts.append(UD.custom_rules(text, options.custom, model.select("path", "dialect")))
+        parts.append(cut(UD.custom_rules(text, options.custom, model.select("path", "dialect"))))
     return FD.union_findings([FD.complete(p) for p in parts])
 
 
@@ -88,8 +90,9 @@ def analyze(files: DataFrame, options: Options = Options(), outputs: DataFrame |
     enrichment, escalation, configuration, fingerprints, masking, corrections, scores.
     """
     model = LN.with_model(files)
+    labels = cut(model.select("path", "dialect", "host_kind"))
     raw = raw_findings(model, options, inventory)
-    built_in = model.select("path", F.lit("builtin").alias("tool"), F.lit("ok").alias("status"), F.lit(0).cast("bigint").alias("findings"))
+    built_in = labels.select("path", F.lit("builtin").alias("tool"), F.lit("ok").alias("status"), F.lit(0).cast("bigint").alias("findings"))
     runs = built_in
     if outputs is not None:
         told = read_outputs(outputs)
@@ -97,20 +100,20 @@ def analyze(files: DataFrame, options: Options = Options(), outputs: DataFrame |
         raw = FD.with_priority(raw.drop("tool_rank").unionByName(told))
     raw = cut(raw)
 
-    source = LN.to_lines(model)
-    directives = FD.parse_directives(source, model.filter("dialect = 'python'").select("path"), options.directive_word)
+    source = LN.to_lines(files)
+    directives = cut(FD.parse_directives(source, labels.filter("dialect = 'python'").select("path"), options.directive_word))
     deduped = cut(FD.deduplicate(raw))
-    kept = FD.suppress(deduped, directives)
+    kept = cut(FD.suppress(deduped, directives))
     stale = FD.complete(FD.stale_directives(directives, raw, runs, BUILTIN_IDS).withColumn("position", F.lit(9 * 10**12).cast("bigint") + F.col("line")))
     all_kept = FD.with_priority(kept.drop("tool_rank").unionByName(stale))
 
     off = (*options.disabled, *dims.PROFILES[options.profile]["disabled"])
     shaped = FD.apply_config(FD.escalate(FD.enrich(all_kept), options.contexts), off, options.overrides)
-    marked = FD.attach_source(FD.fingerprint(shaped, source), source, raw)
+    marked = cut(FD.attach_source(FD.fingerprint(shaped, source), source, raw))
     lexed = LN.mask_lines(model.filter(F.col("host_kind").isNull() & (F.col("dialect") != "python")))
     touched = marked.filter(F.col("rule").isin(*FX.FIXABLE, *FX.FIX_ALIASES)).select("path", "line").distinct()
-    fixed = FX.attach_fixes(marked, lexed.join(touched, ["path", "line"], "left_semi"))
-    hosts = model.filter(F.col("host_kind").isNotNull()).select("path", F.lit(True).alias("_host"))
+    fixed = FX.attach_fixes(marked, cut(lexed.join(touched, ["path", "line"], "left_semi")))
+    hosts = labels.filter(F.col("host_kind").isNotNull()).select("path", F.lit(True).alias("_host"))
     final = fixed.join(hosts, "path", "left").withColumn(
         "edits", F.when(F.col("_host").isNull(), F.col("edits")).otherwise(F.slice("edits", 1, 0))).drop("_host", "tool_rank")
     final = cut(final)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetgrade.operators import lines as LN
 from fleetgrade.operators import shell_rules as SR
+from fleetgrade.session import cut
 from fleetgrade.workload import script_views as V
 from fleetgrade.workload.registry import query, table
 
@@ -231,7 +232,9 @@ def analyze_fleet(spark: SparkSession, sf: str) -> DataFrame:
     from fleetgrade.workload.host_queries import all_hosts
 
     fleet = V.files(spark, sf).select("path", "content").unionByName(py(spark, sf)).unionByName(all_hosts(spark, sf).select("path", "content"))
-    report = analyze(fleet.repartition(spark.sparkContext.defaultParallelism), Options(contexts=("cron",)))
+    # Stored first: real files are a scan, not a derivation repeated by every branch of the plan.
+    stored = cut(fleet.repartition(spark.sparkContext.defaultParallelism))
+    report = analyze(stored, Options(contexts=("cron",)))
     return report.scores
 
 
