@@ -18,6 +18,7 @@ def build_session(master: str | None = None, app: str = "fleetgrade", **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)

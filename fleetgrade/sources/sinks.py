@@ -14,11 +14,21 @@ PART = 10000
 
 
 def _parts(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Number findings per key in export order and cut them into parts of ``PART`` rows."""
-    rank = dims.category_rank(F.col("category")).cast("bigint") * 4 + dims.severity_rank(F.col("severity"))
-    ordered = findings.withColumn("_at", rank * (2**40) + F.col("line"))
-    numbered = occurrence(ordered, keys, "_at", tie=["tool", "rule", "position"], name="_n", chunk=2**20)
-    return numbered.withColumn("part", F.floor((F.col("_n") - 1) / PART).cast("int"))
+    """Assign findings to document parts of about ``PART`` rows, with their order ``_n`` in a part.
+
+    A file is cut along its lines. When a document covers many files, whole files go to parts by
+    a hash over as many parts as the document needs, so no window ever spans a repository.
+    """
+    rank = dims.category_rank(F.col("category")) * 4 + dims.severity_rank(F.col("severity"))
+    group = list(dict.fromkeys([*keys, "path"]))
+    numbered = occurrence(findings, group, "line", tie=["tool", "rule", "position"], name="_row")
+    cut_at = F.floor((F.col("_row") - 1) / PART).cast("int")
+    order = F.struct(rank.alias("rank"), "path", "line", "tool", "rule", "position")
+    if keys == ["path"]:
+        return numbered.withColumn("part", cut_at).withColumn("_n", order).drop("_row")
+    parts = findings.groupBy(*keys).agg(F.ceil(F.count("*") / PART).alias("_parts"))
+    bucket = F.pmod(F.xxhash64("path"), F.col("_parts")).cast("int")
+    return numbered.join(parts, keys).withColumn("part", bucket * 100000 + cut_at).withColumn("_n", order).drop("_row", "_parts")
 
 
 def uri(path: Column) -> Column:

@@ -221,14 +221,16 @@ def validate_rules(spark: SparkSession, sf: str) -> DataFrame:
  fl AS (SELECT d.path, count(l.line) FILTER (trim(l.raw) <> '' AND NOT regexp_matches(l.raw, '^\\s*#')) AS code_lines FROM (SELECT DISTINCT path FROM dl0) d LEFT JOIN dln l USING (path) GROUP BY d.path),
  {V.penalty_sql('f', 'pen', 'fl')}, {V.score_sql('pen', 'scr', 'fl')} SELECT path, security, maintainability, "global", grade FROM scr""")
 def document_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents as a fleet of files: lines, rules, penalties, scores, grades."""
+    """The documents as a fleet of files: lines, rules, penalties, scores, grades.
+
+    The lines are exploded once; line counts come from the text of each row.
+    """
     from fleetgrade.operators import scoring as AG
 
     files, lines = _docs(spark, sf)
-    long = lines.filter(F.length("raw") > 120).select(
-        "path", F.lit("maintainability").alias("category"), F.lit("builtin").alias("tool"), F.lit("MNT001").alias("rule"), F.lit("low").alias("severity"))
-    found = UD.custom_rules(lines, CUSTOM[:2]).select("path", "category", "tool", "rule", "severity").unionByName(long)
-    counts = files.select("path").distinct().join(LN.count_lines(lines), "path", "left").select("path", F.coalesce("code_lines", F.lit(0)).alias("code_lines"))
+    long = UD.CustomRule("MNT001", "^.{121}", "line too long", severity="low", comments=True)
+    found = UD.custom_rules(lines, (*CUSTOM[:2], long)).select("path", "category", "tool", "rule", "severity")
+    counts = files.select("path", F.regexp_count(LN.normalized(F.col("content")), F.lit(r"(?m)^[^\S\n]*[^\s#]")).alias("code_lines"))
     return AG.script_scores(counts, AG.rule_penalties(found, counts)).select("path", "security", "maintainability", "global", "grade")
 
 
