@@ -86,7 +86,7 @@ def raw_findings(model: DataFrame, options: Options, inventory: DataFrame | None
 def analyze(files: DataFrame, options: Options = Options(), outputs: DataFrame | None = None, inventory: DataFrame | None = None) -> Report:
     """Analyse ``files(path, content)`` with recorded tool ``outputs(path, tool, output)``.
 
-    Order as in the reference semantics: dedup, suppression, stale directives on raw findings,
+    Order: dedup, suppression, stale directives on raw findings,
     enrichment, escalation, configuration, fingerprints, masking, corrections, scores.
     """
     model = LN.with_model(files)

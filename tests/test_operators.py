@@ -157,3 +157,17 @@ def test_edits_do_not_overlap():
     edit = lambda l, a, b, t, r="R": {"line": l, "column": a, "end_line": l, "end_column": b, "replacement": t, "rule": r}
     text, counts = FX._apply("abc\ndef", [edit(1, 2, 4, "X"), edit(1, 1, 2, "Y"), edit(1, 3, 4, "lost"), edit(2, 4, 4, "!", "S")])
     assert (text, counts) == ("YX\ndef!", {"R": 1, "S": 1})
+
+
+def test_dedup_of_one_hot_file(spark):
+    r = random.Random(11)
+    rows = [("hot", r.choice(TOOLS), r.choice(RULES), "security", "low", r.randrange(0, 300), None, r.sample(["A*", "B1", "SYNTAX"], r.randrange(0, 2)), i) for i in range(2500)]
+    got = {x.position for x in FD.deduplicate(spark.createDataFrame(rows, SCHEMA)).select("position").collect()}
+    assert got == _naive_dedup(rows)
+
+
+def test_apply_config_drops_a_rule_under_any_of_its_ids(spark):
+    f = _findings(spark).limit(1)
+    rules = f.crossJoin(spark.createDataFrame([("S105",), ("B105",), ("SC2197",), ("POR005",), ("X",)], "r string")).withColumn("rule", F.col("r")).drop("r")
+    left = {r.rule for r in FD.apply_config(rules, ("B105", "SC2196")).collect()}
+    assert left == {"X"}
