@@ -186,7 +186,21 @@ def long_functions(spark: SparkSession, sf: str) -> DataFrame:
     return SR.function_length_hits(V.lexed(spark, sf), 10).select("path", "line", F.col("own_severity").alias("severity"))
 
 
-@query("deep_blocks")
+# Block events in order; the depth is a running sum that never falls below zero.
+_EVENT = r"(?:(?:^|[;&|({)!]|\b(?:then|do|else))\s*(?:if|for|while|until|case|select)\b)|(?:(?:^|[;&|)\s])(?:fi|done|esac)(?:$|[\s;&|)<>]))"
+_DEPTH_SQL = f"""ev1 AS (SELECT path, line, regexp_extract_all(bare, {V._lit(_EVENT)}) AS es FROM sln WHERE NOT in_heredoc),
+ev2 AS (SELECT path, line, unnest(es) AS e, unnest(range(1, len(es) + 1)) AS pos FROM ev1 WHERE len(es) > 0),
+ev3 AS (SELECT *, sum(CASE WHEN regexp_matches(e, '(if|for|while|until|case|select)$') THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY line, pos) AS p FROM ev2),
+ev4 AS (SELECT path, line, pos, CAST(p - least(0, min(p) OVER (PARTITION BY path ORDER BY line, pos)) AS INTEGER) AS depth FROM ev3),
+ev5 AS (SELECT path, line, max(depth) AS top, arg_max(depth, pos) AS depth FROM ev4 GROUP BY path, line)"""
+
+
+@query("nesting_depth", w("SELECT s.path, s.line, coalesce(last_value(e.depth IGNORE NULLS) OVER (PARTITION BY s.path ORDER BY s.line), 0) AS depth FROM sln s LEFT JOIN ev5 e USING (path, line)", _DEPTH_SQL))
+def nesting_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return LN.block_depth(V.lexed(spark, sf)).select("path", "line", "depth")
+
+
+@query("deep_blocks", w("SELECT path, line, 'MNT003' AS rule, '5' AS extra FROM (SELECT *, coalesce(lag(depth) OVER (PARTITION BY path ORDER BY line), 0) AS before FROM ev5) WHERE top > 4 AND before <= 4 UNION ALL SELECT path, line, 'PERF004', NULL FROM sln WHERE raw LIKE '%$(basename %'", _DEPTH_SQL))
 def deep_blocks(spark: SparkSession, sf: str) -> DataFrame:
     lines = V.lexed(spark, sf)
     every = tuple({r.rule for r in SR.LINE_RULES} | {"MNT001"})
