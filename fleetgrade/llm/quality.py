@@ -51,7 +51,7 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.facts = np.zeros((MEMO_WORDS, _FACTS), np.float32)
+        self.facts = np.zeros((1024, _FACTS), np.float32)  # small, as it travels with the tasks; doubled when full
 
     def __missing__(self, word: str) -> int:
         k = len(self)
