@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "quality", "vectors", "pieces", "mixing", "personal", "jaccard", "line_templates")
+_MODULES = ("exact_dedup", "quality", "vectors", "pieces", "toxicity", "mixing", "masked_lm", "personal", "jaccard", "line_templates")
 
 
 def load_queries():
