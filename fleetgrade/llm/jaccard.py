@@ -4,10 +4,10 @@ A document's set holds its distinct word shingles as 64-bit hashes. Equal sets a
 one class, represented by its smallest id. Between classes the join is exact (up
 to a chance of 2^-64 per pair of different shingles):
 
-1. *Order.* Shingles are ordered rarest first. Shingles that repeat inside tasks are
-   counted over all documents; the ``HOT`` most frequent ones get a place at the end,
-   all others come first by hash. Any fixed order gives the same links, so the bound on
-   this broadcast list costs no result.
+1. *Order.* Shingles are ordered by hash, but those that several sets have at
+   the front of that order come last, by frequency; at most ``HOT`` of them, the most
+   frequent. Any fixed order gives the same links, so the bound on this broadcast
+   list costs no result, only comparisons.
 2. *Index.* The first ``n - ceil(t n) + 1`` shingles of a set of n go to the index with
    their position. A list is cut into blocks of equal (size, position); two blocks
    that cannot reach the threshold by their sizes and by what is left behind
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from fleetgrade.llm.common import cut, documents, rows_of, small_batches, text_of, within
 from fleetgrade.llm.components import components
 
-HOT = 1 << 17
+HOT = 1 << 20
 BLOCK = 256
 SPREAD = 4096
 MEMO = 1 << 19
@@ -83,21 +83,6 @@ def _ints(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
-def frequent(docs: DataFrame, n: int, hot: int = HOT, least: int = 4) -> np.ndarray:
-    """The most frequent shingles, least frequent first: at most ``hot`` of them, counted over all documents."""
-
-    def count(batches):
-        for batch in batches:
-            found = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            key, many = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
-            common = many >= least
-            yield pa.RecordBatch.from_arrays([_ints(key[common]), _ints(many[common])], ["s", "n"])
-
-    counted = docs.select(text_of("text").alias("text")).mapInArrow(count, "s long, n long")
-    top = counted.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(hot).collect()
-    return np.array([r["s"] for r in reversed(top)], np.int64).view(np.uint64)
-
-
 def _need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
@@ -106,27 +91,57 @@ def _name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def document_sets(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, set_id, prefix): the set's own 64-bit name; the prefix holds its first shingles in the common order."""
-    order = np.argsort(hot)
-    shared = docs.sparkSession.sparkContext.broadcast((hot[order], order + 1))
+def document_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id): the size of a document's set and the set's own 64-bit name, null for the empty set."""
 
     def run(batches):
-        known, place = shared.value
         for batch in batches:
-            sizes, names, prefixes = [], [], []
+            sizes, names = [], []
             for (text,) in rows_of([batch], "text"):
                 s = shingles(text, n)
                 sizes.append(len(s))
                 names.append(_name(s) if len(s) else None)
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.lexsort((s, np.where(known[at] == s, place[at], 0)))]
-                prefixes.append(s[:len(s) - _need(len(s), percent) + 1].tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "n_shingles", "set_id", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "set_id"])
+
+    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+
+
+def shared_shingles(firsts: DataFrame, n: int, percent: int, hot: int = HOT) -> np.ndarray:
+    """Shingles that stand, by hash, in the prefix of several sets, the most frequent last: at most ``hot`` of them."""
+
+    def run(batches):
+        for batch in batches:
+            found = [s[:len(s) - _need(len(s), percent) + 1] for s in (shingles(t, n) for t in batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([_ints(np.concatenate([np.empty(0, np.uint64), *found]))], ["s"])
+
+    counted = firsts.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = counted.orderBy(F.desc("n"), "s").limit(hot).toArrow()
+    return top.column("s").to_numpy().view(np.uint64)[::-1]
+
+
+def prefixes(firsts: DataFrame, n: int, percent: int, shared: np.ndarray) -> DataFrame:
+    """(s, set_id, n, at): the first shingles of each set in the common order, shared ones last."""
+    order = np.argsort(shared)
+    known = firsts.sparkSession.sparkContext.broadcast((shared[order], order + 1))
 
-    picked = docs.select("doc_id", text_of("text").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, set_id long, prefix binary")
+    def run(batches):
+        names, place = known.value
+        for batch in batches:
+            parts = [[np.empty(0, np.uint64)], [], [], []]
+            for (text,) in rows_of([batch], "text"):
+                s = shingles(text, n)
+                if not len(s):
+                    continue
+                set_id, size = _name(s), len(s)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    s = s[np.lexsort((s, np.where(names[at] == s, place[at], 0)))]
+                s = s[:size - _need(size, percent) + 1]
+                for part, column in zip(parts, (s, np.full(len(s), set_id), np.full(len(s), size), np.arange(len(s))), strict=True):
+                    part.append(column)
+            yield pa.RecordBatch.from_arrays([_ints(np.concatenate([np.empty(0, np.int64), *p]) if i else np.concatenate(p)) for i, p in enumerate(parts)], ["s", "set_id", "n", "at"])
+
+    return firsts.select("text").mapInArrow(run, "s long, set_id long, n long, at long")
 
 
 def compatible(n1, p1, n2, p2, percent: int):
@@ -154,62 +169,47 @@ def sub_lists(size: np.ndarray, position: np.ndarray, percent: int) -> np.ndarra
     return np.where(alone, -1, label)[of]
 
 
-def _runs(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Lists of a partition sorted by shingle: (set ids, sizes, positions) of each list of two or more."""
+def _lists(batches: Iterator) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole lists of a partition sorted by shingle: (shingles, set ids, sizes, positions) of one or more lists at a time."""
     rest = [np.empty(0, np.int64)] * 4
     for batch in batches:
-        s, key, size, at = (np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("s", "set_id", "n", "at"), strict=True))
-        cuts = np.flatnonzero(s[1:] != s[:-1]) + 1
-        ends = np.append(cuts, len(s))
-        starts = np.insert(cuts, 0, 0)
-        for a, b in zip(starts[:-1], ends[:-1], strict=True):
-            if b - a > 1:
-                yield key[a:b], size[a:b], at[a:b]
-        last = starts[-1]
-        rest = [s[last:], key[last:], size[last:], at[last:]]
-    if len(rest[0]) > 1:
-        yield rest[1], rest[2], rest[3]
-
-
-def followers(sets: DataFrame, percent: int) -> DataFrame:
+        rest = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("s", "set_id", "n", "at"), strict=True)]
+        whole = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+        if whole:
+            yield tuple(r[:whole] for r in rest)
+            rest = [r[whole:] for r in rest]
+    yield tuple(rest)
+
+
+def _led(key: np.ndarray, size: np.ndarray, at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leaders, members) of one list of more than two."""
+    part = sub_lists(size, at, percent)
+    for k in np.unique(part[part >= 0]):
+        inside = part == k
+        members = key[inside]
+        leader = members[np.lexsort((members, size[inside]))[0]]
+        members = np.unique(members[members != leader])
+        yield np.full(len(members), leader), members
+
+
+def followers(entries: DataFrame, percent: int) -> DataFrame:
     """(leader, member): every pair of sets that may be linked is in the group of one leader, or is leader and member."""
 
-    def explode(batches):
-        for set_id, n, prefix in rows_of(batches, "set_id", "n_shingles", "prefix"):
-            s = np.frombuffer(prefix, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), set_id)), pa.array(np.full(len(s), n)), pa.array(np.arange(len(s)))], ["s", "set_id", "n", "at"])
-
     def lead(batches):
-        for key, size, at in _runs(batches):
-            part = sub_lists(size, at, percent)
-            for k in np.unique(part[part >= 0]):
-                inside = part == k
-                members = key[inside]
-                leader = members[np.lexsort((members, size[inside]))[0]]
-                members = np.unique(members[members != leader])
-                if len(members):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), leader)), pa.array(members)], ["leader", "member"])
-
-    entries = sets.select("set_id", "n_shingles", "prefix").mapInArrow(explode, "s long, set_id long, n long, at long")
-    listed = entries.repartition("s").sortWithinPartitions("s")
-    return listed.mapInArrow(_merged(lead, "leader", "member"), "leader long, member long").distinct()
-
+        for s, key, size, at in _lists(batches):
+            starts = np.flatnonzero(np.diff(s, prepend=s[:1] - 1)) if len(s) else np.empty(0, np.int64)
+            many = np.diff(starts, append=len(s))
+            a = starts[many == 2]
+            a = a[compatible(size[a], at[a], size[a + 1], at[a + 1], percent)]
+            swap = (size[a + 1] < size[a]) | ((size[a + 1] == size[a]) & (key[a + 1] < key[a]))
+            pairs = [(np.where(swap, key[a + 1], key[a]), np.where(swap, key[a], key[a + 1]))]
+            for x, m in zip(starts[many > 2], many[many > 2], strict=True):
+                pairs += _led(key[x:x + m], size[x:x + m], at[x:x + m], percent)
+            both = np.unique(np.concatenate([np.stack(p) for p in pairs], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["leader", "member"])
 
-def _merged(kernel, *columns):
-    """Gather the kernel's small batches into larger ones."""
-
-    def run(batches):
-        held, rows = [], 0
-        for batch in kernel(batches):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return run
+    listed = entries.repartition("s").sortWithinPartitions("s")
+    return listed.mapInArrow(lead, "leader long, member long").distinct()
 
 
 class Anchors:
@@ -315,18 +315,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", F.desc("anchor"), "id")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between sets (set_id, first, n_shingles, prefix) that join everything the threshold joins."""
-    pairs = cut(followers(sets, percent))
-    touched = cut(pairs.select(F.col("leader").alias("set_id")).unionByName(pairs.select(F.col("member").alias("set_id"))).distinct().join(sets.select("set_id", "first"), "set_id"))
+def linked_sets(firsts: DataFrame, n: int, percent: int, hot: int = HOT) -> DataFrame:
+    """(a, b): links between sets that join everything the threshold joins. ``firsts`` has (doc_id, text) of one document per set."""
+    pairs = cut(followers(prefixes(firsts, n, percent, shared_shingles(firsts, n, percent, hot)), percent))
+    touched = cut(pairs.select(F.col("leader").alias("id")).unionByName(pairs.select(F.col("member").alias("id"))).distinct())
 
     def again(batches):
         for batch in batches:
-            found = [shingles(t, n) for t in batch.column("text").to_pylist()]
+            found = [s for s in (shingles(t, n) for t in batch.column("text").to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "s"])
 
-    near = docs.select(F.col("doc_id").alias("first"), text_of("text").alias("text")).join(within(touched.select("first"), 1_000_000), "first", "left_semi")
-    arrays = near.select("text").mapInArrow(again, "id long, s binary").join(touched.select(F.col("set_id").alias("id")), "id", "left_semi")
+    arrays = firsts.select("text").mapInArrow(again, "id long, s binary").join(within(touched, 1_000_000), "id", "left_semi")
     arrays = cut(arrays.dropDuplicates(["id"]))
 
     # A large group is dealt over several salts, its leader copied to each.
@@ -364,10 +363,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """One row per document: doc_id, n_shingles, component_id."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(document_sets(docs, n, percent, frequent(docs, n, hot)))
-    named = sets.filter("set_id is not null and doc_id is not null")
-    classes = cut(named.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n_shingles"), F.min("prefix").alias("prefix")))
-    joined = components(linked_sets(docs, classes, n, percent))
+    sets = cut(document_sets(docs, n))
+    classes = cut(sets.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")))
+    firsts = docs.select("doc_id", text_of("text").alias("text")).join(within(classes.select(F.col("first").alias("doc_id")), 1_000_000), "doc_id", "left_semi")
+    joined = components(linked_sets(firsts, n, percent, hot))
     part = classes.select("set_id", "first").join(joined, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("part"))
     part = cut(part)
     answer = part.join(part.groupBy("part").agg(F.min("first").alias("component_id")), "part").select("set_id", "component_id")
