@@ -90,7 +90,7 @@ def plan_sources(drawn: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
     edge = edge.filter(F.col("start") + F.col("n") / 2 <= F.col("rest")).groupBy("s").agg(F.max("__key").alias("last_key"))
     ends = last.select("s", "last_bin").join(edge.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
     plan = targets.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    return cut(plan.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "last_bin", "last_key"))
+    return cut(plan.select(F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs", "last_bin", "last_key"))))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS, quality: Column | None = None,
@@ -99,12 +99,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
     drawn = _drawn(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), quality, "doc_id", "text")
     drawn = cut(drawn.drop("text"))
     met = drawn.join(within(plan_sources(drawn, weights, most)), F.col("source").eqNullSafe(F.col("__source")))
-    return met.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * _times()).alias("taken"))
+    return met.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * _times()).alias("taken"))
 
 
 def _times() -> Column:
-    inside = (F.col("__bin") < F.col("last_bin")) | ((F.col("__bin") == F.col("last_bin")) & (F.col("__key") <= F.col("last_key")))
-    return F.col("epochs") + F.when(inside, 1).otherwise(0)
+    inside = (F.col("__bin") < F.col("__last_bin")) | ((F.col("__bin") == F.col("__last_bin")) & (F.col("__key") <= F.col("__last_key")))
+    return F.col("__epochs") + F.when(inside, 1).otherwise(0)
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS, quality: Column | None = None,

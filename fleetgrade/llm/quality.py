@@ -110,7 +110,7 @@ class Machine:
 
     def scaled(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Statistics in units of their spread, unknown ones at the mean, held within 4."""
-        out, stat = value.copy(), at >= WORD_BUCKETS
+        out, stat = value.astype(np.float64), at >= WORD_BUCKETS
         k = at[stat] - WORD_BUCKETS
         out[stat] = np.clip(np.nan_to_num((value[stat] - self.mean[k]) / self.spread[k]), -4, 4) / 4
         return out
@@ -137,7 +137,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, se
     stats = np.array([value[-len(STATS):] for _, value, _ in rows], np.float64)
     model.mean = np.nan_to_num(np.nanmean(np.where(np.isnan(stats).all(0), 0, stats), 0))
     model.spread = np.nan_to_num(np.nanstd(np.where(np.isnan(stats).all(0), 0, stats), 0)) + 1e-6
-    ready = [(at, model.scaled(at, value).astype(np.float64), y) for at, value, y in rows]
+    ready = [(at, model.scaled(at, value), y) for at, value, y in rows]
     model.bias = float(np.log(good / (len(rows) - good)))
     seen, seen_w, seen_v = 1e-6, np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)
     for _ in range(epochs):
