@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgrade import dims
@@ -13,8 +13,6 @@ from fleetgrade.functions import scalars as S
 from fleetgrade.operators.prefix import next_value, occurrence
 from fleetgrade.session import cut
 
-# Fixed value: a finding longer than this many lines counts on its first line only.
-MAX_SPAN = 6
 BUCKET = 8
 
 EDIT = "struct<line:int,column:int,end_line:int,end_column:int,replacement:string,rule:string>"
@@ -141,21 +139,24 @@ def _same_tool_edges(slim: DataFrame) -> DataFrame:
     return a.join(b, ["path", "tool", "line"]).filter((F.col("src") < F.col("dst")) & same).select("path", "src", "dst")
 
 
-def deduplicate(findings: DataFrame) -> DataFrame:
+def deduplicate(findings: DataFrame, max_span: int | None = None) -> DataFrame:
     """Keep each finding unless it duplicates one kept before it (tool rank, then position).
 
     The relation is not transitive, so the answer is the greedy one: it is found in
     rounds over a conflict graph. In a round every finding without an earlier rival
-    left is kept, and what it conflicts with is dropped. ``position`` must be unique
-    within (path, tool). Whole-file syntax errors conflict as one class, so pairs are
+    left is kept, and what it conflicts with is dropped. Findings that share a position
+    are told apart by what they report. A finding of ``max_span`` lines or more counts
+    as its first line, if a limit is given. Whole-file syntax errors conflict as one class, so pairs are
     only formed between findings a few lines apart or between classes.
     """
     if "tool_rank" not in findings.columns:
         findings = with_priority(findings)
     columns = findings.columns
-    span = F.when(
-        (F.col("end_line") >= F.col("line")) & (F.col("end_line") - F.col("line") < MAX_SPAN), F.col("end_line")
-    ).otherwise(F.col("line"))
+    ends = F.col("end_line") >= F.col("line")
+    if max_span is not None:
+        ends = ends & (F.col("end_line") - F.col("line") < max_span)
+    span = F.when(ends, F.col("end_line")).otherwise(F.col("line"))
+    eqs = F.array_sort(F.array_distinct(F.coalesce("equivalents", F.array().cast("array<string>"))))
     marked = findings.select(
         F.struct(*columns).alias("row"),
         "path",
@@ -163,8 +164,11 @@ def deduplicate(findings: DataFrame) -> DataFrame:
         "rule",
         "line",
         span.alias("last"),
-        F.array_sort(F.array_distinct(F.coalesce("equivalents", F.array().cast("array<string>")))).alias("eqs"),
-        (F.shiftleft(F.col("tool_rank").cast("bigint"), 44) + F.col("position")).alias("prio"),
+        eqs.alias("eqs"),
+        F.struct(
+            F.col("tool_rank").cast("int").alias("rank"), F.col("position").cast("bigint").alias("position"),
+            F.xxhash64("tool", "rule", "line", span, eqs).alias("what"),
+        ).alias("prio"),
     )
     # Rows alike in all that matters to dedup: only the first can survive.
     reps = cut(
@@ -560,6 +564,19 @@ def attach_source(findings: DataFrame, lines: DataFrame, detected: DataFrame) ->
 # ---------------------------------------------------------------- selection
 
 
+def number_sorted(findings: DataFrame, name: str = "n") -> DataFrame:
+    """The rows numbered in the order of :func:`sort_findings`: ranges of the order are numbered inside, then moved by what stands before."""
+    order = [
+        F.col("path"), dims.category_rank(F.col("category")), dims.severity_rank(F.col("severity")), F.col("line"), F.col("tool"), F.col("position"),
+    ]
+    # Ranges are drawn from a sample, so they are stored before they are used twice.
+    ranged = cut(findings.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_n", inside).join(sizes.select("_range", before.alias("_before")), "_range").withColumn(name, F.col("_n") + F.col("_before")).drop("_range", "_n", "_before")
+
+
 def sort_findings(findings: DataFrame) -> DataFrame:
     """Category, severity, line; path first and ties by tool and position, so the order is total."""
     return findings.orderBy(
@@ -573,7 +590,7 @@ def filter_refs(findings: DataFrame, wanted: Iterable[str]) -> DataFrame:
 
     def hit(ref: Column) -> Column:
         up = F.upper(ref)
-        bare = F.when(F.startswith(up, F.lit("OWASP ")), F.substring(up, 7, 999)).otherwise(up)
+        bare = F.when(F.startswith(up, F.lit("OWASP ")), F.substr(up, F.lit(7))).otherwise(up)
         return reduce(lambda a, b: a | b, [F.startswith(up, F.lit(w)) | F.startswith(bare, F.lit(w)) for w in starts])
 
     return findings.filter(F.exists("refs", hit))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from fleetgrade.functions import scalars as S
 from fleetgrade.session import cut
 
-MAX_HOST_BYTES = 1 << 20
-
 # ---------------------------------------------------------------- YAML
 
 
@@ -121,7 +120,7 @@ def workflow_steps(nodes: DataFrame) -> DataFrame:
     shift = F.when(in_job, 2).otherwise(1)
     rows = nodes.filter(in_job | in_action).select(
         "*", F.when(in_job, _key(2)).alias("job"), F.element_at("keys", shift + 2).alias("step"),
-        F.array_join(F.slice("keys", shift + 3, F.lit(9)), "/").alias("field"))
+        F.array_join(F.slice("keys", shift + 3, F.size("keys")), "/").alias("field"))
     pick = lambda field, col: F.max(F.when(F.col("field") == field, F.col(col)))
     steps = rows.groupBy("path", "job", "step").agg(
         pick("run", "value").alias("run"), pick("run", "text_line").alias("text_line"), pick("run", "text_column").alias("text_column"),
@@ -214,7 +213,7 @@ def workflow_rules(nodes: DataFrame) -> DataFrame:
     owner = F.col("uses").rlike("^(actions|github)/")
     floating = ~F.col("uses").rlike(r"@[0-9a-f]{40}\z")
     actions = remote.filter(~is_image & floating).select(*_mark("CI001", F.col("uses_line"), F.col("uses"), F.when(owner, "low")))
-    images = remote.filter(is_image).select("path", F.substring("uses", 10, 999).alias("value"), F.col("uses_line").alias("line"))
+    images = remote.filter(is_image).select("path", F.substr("uses", F.lit(10)).alias("value"), F.col("uses_line").alias("line"))
     boxes = nodes.filter((F.col("kind") == "scalar") & (
         _is("jobs", None, "container") | _is("jobs", None, "container", "image") | _is("jobs", None, "services", None) | _is("jobs", None, "services", None, "image")))
     write_all = nodes.filter((_is("permissions") | _is("jobs", None, "permissions")) & (F.col("value") == "write-all")).select(
@@ -264,11 +263,9 @@ def _docker(text: str) -> Iterator[tuple]:
     if src and not src[-1]:
         src.pop()
     escape, shell, pipefail, i = "\\", "sh", False, 0
-    for s in src[:5]:
+    for s in takewhile(lambda s: s.startswith("#"), src):
         m = _ESCAPE.match(s)
         escape = m.group(1) if m else escape
-        if not s.startswith("#"):
-            break
     idle = lambda s: not s.strip() or s.lstrip().startswith("#")
     while i < len(src):
         if idle(src[i]):
@@ -486,7 +483,7 @@ def make_rules(recipes: DataFrame) -> DataFrame:
 
 def shell_lines(files: DataFrame) -> DataFrame:
     """Shell text of host files at its own lines: (path, line, raw, shell, pipefail)."""
-    hosts = files.filter(F.octet_length("content") <= MAX_HOST_BYTES)
+    hosts = files
     nodes = cut(yaml_nodes(hosts.filter(F.col("host_kind").isin("github_actions", "gitlab_ci", "ansible"))))
     kind = hosts.select("path", "host_kind")
 
@@ -505,7 +502,7 @@ def shell_lines(files: DataFrame) -> DataFrame:
 def virtual_scripts(files: DataFrame) -> DataFrame:
     """Host files as shell scripts with the same line numbers (path, content, dialect, pipefail).
 
-    A host file is at most 1 MiB, which bounds the lines gathered per path.
+    A script is one row, as its host file is: what is gathered per path is no larger than the file.
     """
     rows = shell_lines(files).groupBy("path").agg(
         F.collect_list(F.struct("line", "raw")).alias("rows"),
@@ -522,7 +519,7 @@ def virtual_scripts(files: DataFrame) -> DataFrame:
 
 def host_rules(files: DataFrame) -> DataFrame:
     """Rules of host files that need no shell lexing."""
-    hosts = files.filter(F.octet_length("content") <= MAX_HOST_BYTES)
+    hosts = files
     flow = cut(yaml_nodes(hosts.filter("host_kind = 'github_actions'")))
     lab = cut(yaml_nodes(hosts.filter("host_kind = 'gitlab_ci'")))
     docker = cut(docker_instructions(hosts.filter("host_kind = 'dockerfile'")))

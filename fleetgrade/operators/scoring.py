@@ -129,10 +129,12 @@ def weakest_scripts(scores: DataFrame, limit: int = 5) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("repo", "rank", "path", "global")
 
 
-def repo_dashboard(history: DataFrame, recent: int = 20) -> DataFrame:
-    """Latest scan per repository with the change since the one before and the recent series."""
+def repo_dashboard(history: DataFrame, recent: int | None = None) -> DataFrame:
+    """Latest scan per repository with the change since the one before and the series of its scans (the last ``recent`` if given)."""
     w = Window.partitionBy("folder").orderBy(F.desc("ts"))
-    latest = history.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= recent)
+    latest = history.withColumn("_n", F.row_number().over(w))
+    if recent is not None:
+        latest = latest.filter(F.col("_n") <= recent)
     return latest.groupBy("folder").agg(
         F.max_by("average", "ts").alias("average"),
         F.max_by("scripts", "ts").alias("scripts"),

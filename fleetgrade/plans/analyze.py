@@ -32,6 +32,8 @@ class Options:
     overrides: dict = field(default_factory=dict)
     custom: tuple[UD.CustomRule, ...] = ()
     directive_word: str = FD.DIRECTIVE_WORD
+    # Findings of so many lines or more count as their first line in dedup; no limit by default.
+    max_span: int | None = None
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,13 @@ def raw_findings(model: DataFrame, options: Options, inventory: DataFrame | None
 
     kinds = LN.python_lines(python)
     py_counts = cut(LN.count_python_lines(kinds))
-    py_hits = PY.python_rule_hits(LN.to_lines(python), cut(PY.python_facts(python)), py_counts)
+    py_lines = LN.to_lines(python)
+    facts = cut(PY.python_facts(python))
+    # Files that the parser refuses are read line by line.
+    refused = facts.filter(~F.col("parsed")).select("path")
+    guessed = PY.lexical_facts(py_lines.join(refused, "path", "left_semi")).withColumn("parsed", F.lit(False))
+    facts = cut(facts.filter("parsed").unionByName(guessed))
+    py_hits = PY.python_rule_hits(py_lines, facts, py_counts)
     py_hits = py_hits.withColumn("position", (F.col("line").cast("bigint") * 1000 + F.crc32("rule") % 1000).cast("bigint"))
     parts.append(cut(SR.as_findings(py_hits, options.contexts)))
 
@@ -92,17 +100,22 @@ def analyze(files: DataFrame, options: Options = Options(), outputs: DataFrame |
     model = LN.with_model(files)
     labels = cut(model.select("path", "dialect", "host_kind"))
     raw = raw_findings(model, options, inventory)
-    built_in = labels.select("path", F.lit("builtin").alias("tool"), F.lit("ok").alias("status"), F.lit(0).cast("bigint").alias("findings"))
+    built_in = labels.select("path", F.lit("builtin").alias("tool"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("version"), F.lit(0).cast("bigint").alias("findings"))
     runs = built_in
     if outputs is not None:
-        told = read_outputs(outputs)
+        none = files.sparkSession.createDataFrame([], "kind string, name string, dist string")
+        python = model.filter(F.col("host_kind").isNull() & (F.col("dialect") == "python"))
+        imports = PY.python_imports(python, model, inventory if inventory is not None else none)
+        told = read_outputs(outputs, imports=PY.imported_dists(imports))
+        hosts = labels.filter(F.col("host_kind").isNotNull()).select("path", F.lit(False).alias("pipefail"))
+        told = LN.drop_embedded_rules(told, hosts)
         runs = built_in.unionByName(tool_runs(outputs, told))
         raw = FD.with_priority(raw.drop("tool_rank").unionByName(told))
     raw = cut(raw)
 
     source = LN.to_lines(files)
     directives = cut(FD.parse_directives(source, labels.filter("dialect = 'python'").select("path"), options.directive_word))
-    deduped = cut(FD.deduplicate(raw))
+    deduped = cut(FD.deduplicate(raw, options.max_span))
     kept = cut(FD.suppress(deduped, directives))
     stale = FD.complete(FD.stale_directives(directives, raw, runs, BUILTIN_IDS).withColumn("position", F.lit(9 * 10**12).cast("bigint") + F.col("line")))
     all_kept = FD.with_priority(kept.drop("tool_rank").unionByName(stale))

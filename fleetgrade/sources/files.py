@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgrade.operators import lines as LN
-from fleetgrade.operators.hosts import MAX_HOST_BYTES
 
 
 def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -32,10 +31,10 @@ SHEBANG = r"^#!.*\b((ba|da|k|mk|z)?sh|python[23]?(\.\d+)?)\b"
 
 
 def keep_scripts(files: DataFrame) -> DataFrame:
-    """Scripts by extension, host files up to 1 MiB, or an interpreter line when there is no extension."""
+    """Scripts by extension, host files, or an interpreter line when there is no extension."""
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     by_ext = F.lower("path").rlike(LN.SCRIPT_EXT)
-    host = LN.detect_host_kind(F.col("path"), F.col("content")).isNotNull() & (F.octet_length("content") <= MAX_HOST_BYTES)
+    host = LN.detect_host_kind(F.col("path"), F.col("content")).isNotNull()
     bare = ~name.rlike(r"[^.].*\.|^[^.]+\.") & F.substring_index("content", "\n", 1).rlike(SHEBANG)
     return files.filter(by_ext | host | bare)
 

@@ -27,8 +27,8 @@ def _parts(findings: DataFrame, keys: list[str]) -> DataFrame:
     if keys == ["path"]:
         return numbered.withColumn("part", cut_at).withColumn("_n", order).drop("_row")
     parts = findings.groupBy(*keys).agg(F.ceil(F.count("*") / PART).alias("_parts"))
-    bucket = F.pmod(F.xxhash64("path"), F.col("_parts")).cast("int")
-    return numbered.join(parts, keys).withColumn("part", bucket * 100000 + cut_at).withColumn("_n", order).drop("_row", "_parts")
+    bucket = F.pmod(F.xxhash64("path"), F.col("_parts"))
+    return numbered.join(parts, keys).withColumn("part", bucket * F.lit(1 << 31) + cut_at).withColumn("_n", order).drop("_row", "_parts")
 
 
 def uri(path: Column) -> Column:
@@ -46,7 +46,7 @@ def reports_json(files: DataFrame, scores: DataFrame, findings: DataFrame, tool:
         F.col("path").alias("file"), "dialect", F.struct(F.col("code_lines").alias("code")).alias("lines"), F.struct(F.col("global").alias("score"), "grade").alias("global"),
         F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in dims.CATEGORIES]).alias("categories"),
         F.coalesce("findings", F.array()).alias("findings"))
-    return head.select("path", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(F.struct(F.lit(tool).alias("tool"), F.array(report).alias("reports"))).alias("value"))
+    return head.select("path", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"), F.to_json(F.struct(F.lit(tool).alias("tool"), F.array(report).alias("reports"))).alias("value"))
 
 
 def write_reports_json(documents: DataFrame, path: str) -> None:
@@ -155,8 +155,7 @@ def write_lines(values: DataFrame, path: str) -> None:
     values.select("value").write.mode("overwrite").text(path)
 
 
-# History entries kept per folder, lines of context in a feedback entry.
-HISTORY_KEPT = 200
+# Fixed value: lines of context in a feedback entry.
 CONTEXT = 2
 
 
@@ -170,8 +169,10 @@ def history_entry(scores: DataFrame, keys: Column, ts: Column) -> DataFrame:
         F.create_map(*[x for c in dims.CATEGORIES for x in (F.lit(c), S.round1(F.round(F.sum(c) / total, 6)))]).alias("scores")).withColumn("ts", ts)
 
 
-def append_history(history: DataFrame, entries: DataFrame, keep: int = HISTORY_KEPT) -> DataFrame:
-    """History with new entries; the newest ``keep`` per folder stay (a retention rule)."""
+def append_history(history: DataFrame, entries: DataFrame, keep: int | None = None) -> DataFrame:
+    """History with new entries; with ``keep``, the newest so many per folder stay."""
+    if keep is None:
+        return history.unionByName(entries)
     w = Window.partitionBy("folder").orderBy(F.desc("ts"))
     return history.unionByName(entries).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep).drop("_n")
 

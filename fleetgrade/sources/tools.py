@@ -298,7 +298,7 @@ def bandit(raw: DataFrame) -> DataFrame:
                  column=(F.coalesce(S.json_int(F.col("d.col_offset")), F.lit(-1)) + 1).cast("int"),
                  message=F.when(secret, F.substring_index(text, ":", 1)).otherwise(text), url=F.col("d.more_info"),
                  refs=F.when(cwe.isNotNull(), F.array(F.concat(F.lit("CWE-"), cwe.cast("string")))).otherwise(_strings(())),
-                 equivalents=F.concat(F.array(F.concat(F.lit("S"), F.substring(rule, 2, 9))), F.when(rule == "B307", _strings(("W0123",))).otherwise(_strings(())),
+                 equivalents=F.concat(F.array(F.concat(F.lit("S"), F.substr(rule, F.lit(2)))), F.when(rule == "B307", _strings(("W0123",))).otherwise(_strings(())),
                                       F.when(secret, _strings(SECRET_CODES)).otherwise(_strings(()))))
 
 
@@ -489,24 +489,43 @@ READERS = {
 }
 
 
-def read_outputs(raw: DataFrame, tools: tuple[str, ...] = tuple(READERS)) -> DataFrame:
-    """Findings of all recorded outputs; each reader sees only the rows of its tool."""
+# Readers whose findings carry the name of another tool.
+EMITTED = {"shfmt-diff": "shfmt", "ruff-format": "ruff", "python-syntax": "syntax", "radon-cc": "radon", "radon-mi": "radon"}
+
+
+def read_outputs(raw: DataFrame, tools: tuple[str, ...] = tuple(READERS), imports: DataFrame | None = None) -> DataFrame:
+    """Findings of all recorded outputs; each reader sees only the rows of its tool.
+
+    Audits of dependencies are read where ``imports(path, dist, line)`` says what a file imports.
+    """
     parts = [READERS[t](raw.filter(F.col("tool") == t)) for t in tools]
+    if imports is not None:
+        parts.append(pip_audit(raw.filter("tool = 'pip-audit'"), imports))
     return reduce(DataFrame.unionByName, parts)
 
 
 def tool_runs(raw: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row per (file, tool) with status and number of findings."""
+    """One row per (file, tool) with status, version and number of findings.
+
+    Outputs of one tool in several forms are one run, named as its findings are; a form that
+    failed makes the run a failed one.
+    """
     counts = findings.groupBy("path", "tool").agg(F.count("*").alias("findings"))
     status = F.col("status") if "status" in raw.columns else F.lit("ok")
-    return raw.select("path", "tool", status.alias("status")).join(counts, ["path", "tool"], "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+    version = F.col("version") if "version" in raw.columns else F.lit(None).cast("string")
+    name = F.coalesce(F.try_element_at(dims.literal_map(EMITTED), F.col("tool")), F.col("tool"))
+    worst = F.when(status == "ok", 1).otherwise(0)
+    runs = raw.select("path", name.alias("tool"), status.alias("status"), version.alias("version"), worst.alias("_w"))
+    runs = runs.groupBy("path", "tool").agg(F.min_by("status", F.struct("_w", "status")).alias("status"), F.max("version").alias("version"))
+    return runs.join(counts, ["path", "tool"], "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
 
 
 def tool_status(runs: DataFrame) -> DataFrame:
-    """Runs per tool and status, with the number of findings."""
+    """Runs per tool and status, with the number of findings and, where runs tell them, the versions seen."""
     states = ("ok", "missing", "skipped", "failed", "disabled")
     return runs.groupBy("tool").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in states], F.sum("findings").alias("findings")
+        *[F.count_if(F.col("status") == s).alias(s) for s in states], F.sum("findings").alias("findings"),
+        *([F.array_sort(F.collect_set("version")).alias("versions")] if "version" in runs.columns else []),
     )
 
 

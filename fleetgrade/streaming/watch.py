@@ -56,35 +56,54 @@ def upsert(current: DataFrame, batch: DataFrame, key: str = "path") -> DataFrame
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Number of the newest complete version folder, or none."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
+def _versions(spark: SparkSession, root: str) -> dict[int, str]:
+    """Complete version folders by number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
-    done = [
-        int(s.getPath().getName().split("=")[1])
-        for s in fs.listStatus(path)
-        if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return max(done, default=None)
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return {int(n.split("=")[1].split(".")[0]): n for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))}
 
 
-def upsert_stream(changes: DataFrame, analyze: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, key: str = "path", **trigger) -> StreamingQuery:
-    """Analyse each micro-batch and store the merged table as ``version=<batch id>``.
+def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest complete version of a stored table, or none."""
+    done = _versions(spark, root)
+    return spark.read.parquet(f"{root}/{done[max(done)]}") if done else None
 
-    A batch that is run again writes the same version again from the one before it, so the
-    result does not depend on lost executors or restarts.
+
+def _merged(stored: DataFrame, fresh: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of each key by its latest ``order``; of equal ones the fresh rows."""
+    known = stored.groupBy(key).agg(F.max(order).alias("_known"))
+    newer = fresh.join(known, key, "left").filter(F.col("_known").isNull() | (F.col(order) >= F.col("_known"))).drop("_known")
+    return upsert(stored, newer, key)
+
+
+def upsert_stream(
+    changes: DataFrame, analyze: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, key: str = "path", order: str = "modified", keep: int = 2, **trigger
+) -> StreamingQuery:
+    """Analyse each micro-batch and store the merged table as a new version.
+
+    ``analyze`` hands the ``order`` of a file on to its rows: what arrives late never replaces
+    what is newer. Versions are numbered on, and named by the run (a checkpoint folder is one) and its
+    batch: a batch that runs again finds its version done, and a new checkpoint goes on from the
+    latest version. The newest ``keep`` versions stay, for readers of the one before.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = analyze(newest(batch, key))
-        before = [v for v in (latest_version(spark, root),) if v is not None]
-        previous = min(before[0], batch_id - 1) if before else -1
-        out = upsert(spark.read.parquet(f"{root}/version={previous}"), fresh, key) if previous >= 0 else fresh
-        out.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        run = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        done, mine = _versions(spark, root), f"{run}-{batch_id}"
+        if any(n.split(".", 1)[1] == mine for n in done.values()):
+            return
+        fresh = drop_superseded(analyze(newest(batch, key, order)), key, order)
+        stored = read_latest(spark, root)
+        out = fresh if stored is None else _merged(stored, fresh, key, order)
+        out.write.mode("overwrite").parquet(f"{root}/version={max(done, default=-1) + 1}.{mine}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for number in sorted(done)[: max(0, len(done) + 1 - keep)]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{done[number]}"), True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -106,7 +125,7 @@ def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def overlay_refresh(quick: DataFrame, earlier: DataFrame, old_lines: DataFrame, new_lines: DataFrame) -> DataFrame:
+def overlay_refresh(quick: DataFrame, earlier: DataFrame, old_lines: DataFrame, new_lines: DataFrame, max_span: int | None = None) -> DataFrame:
     """Fresh findings of the cheap rules plus earlier tool findings on lines that did not change.
 
     ``quick`` holds findings on the new text; edits of earlier findings are dropped.
@@ -114,7 +133,7 @@ def overlay_refresh(quick: DataFrame, earlier: DataFrame, old_lines: DataFrame,
     same = old_lines.select("path", "line", "raw").join(new_lines.select("path", "line", "raw"), ["path", "line", "raw"]).select("path", "line").distinct()
     tools = earlier.filter(F.col("tool") != "builtin").withColumn("edits", F.slice("edits", 1, 0))
     kept = tools.filter("line = 0").unionByName(tools.filter("line > 0").join(same, ["path", "line"], "left_semi").select(*tools.columns))
-    return deduplicate(with_priority(quick.unionByName(kept, allowMissingColumns=True)))
+    return deduplicate(with_priority(quick.unionByName(kept, allowMissingColumns=True)), max_span)
 
 
 def result_key(config: str, rule_set: str, tools: str) -> F.Column:
@@ -139,7 +158,7 @@ def prune_cache(stored: DataFrame, now: F.Column, days: int = CACHE_DAYS) -> Dat
 
 
 def score_history(history: DataFrame) -> DataFrame:
-    """Each scan with its change to the one before and to the first; a folder keeps 200 scans at most."""
+    """Each scan with its change to the one before and to the first."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("folder").orderBy("ts")

@@ -41,7 +41,7 @@ def external_commands(spark: SparkSession, sf: str) -> DataFrame:
     return CM.external_commands(shell_lines(spark, sf))
 
 
-@query("guarded_commands", f"WITH {SHELL.ctes('sh')} SELECT DISTINCT path, name FROM sh WHERE kind = 'guard' UNION SELECT path, '>/dev/null' FROM sh_pos WHERE slot = 2 AND ix = 0")
+@query("guarded_commands", f"WITH {SHELL.ctes('sh')} SELECT DISTINCT path, name FROM sh WHERE kind = 'guard'")
 def guarded_commands(spark: SparkSession, sf: str) -> DataFrame:
     return CM.guarded_commands(shell_lines(spark, sf))
 
@@ -323,7 +323,7 @@ def write_sarif(spark: SparkSession, sf: str) -> DataFrame:
  || '"],"severity":"' || (['blocker','critical','major','minor'])[sev + 1] || '","fingerprint":"' || path || ':' || line || ':' || rule || '","location":{"path":"' || path || '","lines":{"begin":' || greatest(line, 1) || '}}}' AS value FROM fnd"""))
 def write_code_quality(spark: SparkSession, sf: str) -> DataFrame:
     f = _plain(V.findings(spark, sf)).withColumn("path", F.concat(F.lit("./"), "path"))
-    out = SK.code_quality(f.withColumn("fingerprint", F.concat_ws(":", F.substring("path", 3, 999), F.col("line").cast("string"), "rule")).withColumn("path", F.concat_ws("#", "path", F.col("position").cast("string"))))
+    out = SK.code_quality(f.withColumn("fingerprint", F.concat_ws(":", F.substr("path", F.lit(3)), F.col("line").cast("string"), "rule")).withColumn("path", F.concat_ws("#", "path", F.col("position").cast("string"))))
     return out.select(F.substring_index("path", "#", -1).cast("bigint").alias("position"), F.regexp_replace("value", r'#\d+"', '"').alias("value"))
 
 
@@ -358,7 +358,7 @@ def append_history(spark: SparkSession, sf: str) -> DataFrame:
 
     h = parse_history(history_log(spark, sf)).select("folder", "ts", "average")
     old, new = h.filter("year(ts) < 1998"), h.filter("year(ts) >= 1998")
-    return SK.append_history(old, new).groupBy("folder").agg(F.count("*").alias("kept"), F.round(F.sum("average"), 3).alias("total"))
+    return SK.append_history(old, new, 200).groupBy("folder").agg(F.count("*").alias("kept"), F.round(F.sum("average"), 3).alias("total"))
 
 
 @query("append_false_positive", w("""SELECT f.position, string_agg(CASE WHEN s.line IS NULL THEN l.raw ELSE '-' END, '|' ORDER BY l.line) AS context FROM fnd f JOIN lns l ON l.path = f.path AND l.line BETWEEN f.line - 2 AND f.line + 2

@@ -45,13 +45,13 @@ def union_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("deduplicate", w("SELECT path, tool, rule, line, position FROM ded", DEDUP_SQL))
 def deduplicate(spark: SparkSession, sf: str) -> DataFrame:
-    return FD.deduplicate(V.findings(spark, sf)).select(*KEY)
+    return FD.deduplicate(V.findings(spark, sf), 6).select(*KEY)
 
 
 @query("deduplicated_scores", w("SELECT path, \"global\", grade FROM scr", DEDUP_SQL, V.penalty_sql("ded"), SCR))
 def deduplicated_scores(spark: SparkSession, sf: str) -> DataFrame:
     files = V.files(spark, sf)
-    pen = AG.rule_penalties(FD.deduplicate(V.findings(spark, sf)), files)
+    pen = AG.rule_penalties(FD.deduplicate(V.findings(spark, sf), 6), files)
     return AG.script_scores(files, pen).select("path", "global", "grade")
 
 
@@ -212,11 +212,7 @@ def attach_source(spark: SparkSession, sf: str) -> DataFrame:
 @query("sort_findings", w("""SELECT path, tool, rule, line, position, row_number() OVER (ORDER BY path,
  CASE category WHEN 'security' THEN 0 WHEN 'robustness' THEN 1 WHEN 'maintainability' THEN 2 WHEN 'portability' THEN 3 ELSE 4 END, sev, line, tool, position) AS n FROM fnd"""))
 def sort_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """The global order, made visible by a row index built from per-partition offsets."""
-    ordered = FD.sort_findings(V.findings(spark, sf)).select(*KEY)
-    schema = "path string, tool string, rule string, line int, position bigint, n bigint"
-    indexed = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    return spark.createDataFrame(indexed, schema)
+    return FD.number_sorted(V.findings(spark, sf)).select(*KEY, "n")
 
 
 @query("filter_refs", w("SELECT position FROM fnd WHERE k % 4 = 0 AND (k = 80 OR 'CWE-' || k LIKE 'CWE-8%' OR k IS NOT NULL)"))
@@ -392,7 +388,7 @@ def order_impacts(spark: SparkSession, sf: str) -> DataFrame:
 @query("grade_plan")
 def grade_plan(spark: SparkSession, sf: str) -> DataFrame:
     f, _, pen, _ = scored(spark, sf)
-    return E.grade_plan(E.rule_impacts(f, pen))
+    return E.grade_plan(E.rule_impacts(f, pen), 10)
 
 
 @query("quick_wins", w("SELECT f.path, f.position, round(coalesce(i.gain * CASE WHEN i.fixable THEN 1.5 ELSE 1.0 END, 0), 6) AS worth FROM fnd f LEFT JOIN imp i USING (path, tool, rule)", PEN, IMPACT_SQL))

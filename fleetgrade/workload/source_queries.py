@@ -176,7 +176,7 @@ def read_history(spark: SparkSession, sf: str) -> DataFrame:
  SELECT folder, max(CASE WHEN n = 1 THEN average END) AS average, max(CASE WHEN n = 1 THEN scripts END) AS scripts, max(CASE WHEN n = 2 THEN average END) AS previous,
  round((max(CASE WHEN n = 1 THEN average END) - max(CASE WHEN n = 2 THEN average END)) * 10) / 10 AS delta, string_agg(CAST(average AS VARCHAR), ' ' ORDER BY ts) AS series FROM n WHERE n <= 20 GROUP BY folder""")
 def repo_dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    out = AG.repo_dashboard(RP.parse_history(history_log(spark, sf)))
+    out = AG.repo_dashboard(RP.parse_history(history_log(spark, sf)), 20)
     return out.select("folder", "average", "scripts", "previous", "delta", F.array_join(F.transform("series", lambda x: x.cast("string")), " ").alias("series"))
 
 
