@@ -10,15 +10,45 @@ from fleetgrade import catalog as RC
 from fleetgrade import dims
 from fleetgrade.operators import scoring as AG
 from fleetgrade.sources import files as SC
+from fleetgrade.session import work_folder
 from fleetgrade.sources import reports as RP
+from fleetgrade.sources import sinks as SK
 from fleetgrade.workload import event_views as V
 from fleetgrade.workload.registry import query, table
 
 
-@query("scan_files")
+@query("scan_files", """SELECT 'b=' || (doc_id % 20) AS folder, sum(strlen(regexp_replace(text, '[\\n\\r]', ' ', 'g')) + 1)::BIGINT AS bytes, count(*) AS lines FROM documents GROUP BY ALL""")
 def scan_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The files of the data folder itself, listed with their sizes."""
-    return SC.scan_files(spark, sf).select("path", "length")
+    """Scripts written from the documents, found again with their sizes and contents."""
+    root = work_folder(spark, "scan")
+    d = table(spark, sf, "documents").select(F.regexp_replace("text", r"[\n\r]", " ").alias("value"), (F.col("doc_id") % 20).alias("b"))
+    d.write.partitionBy("b").text(root)
+    found = SC.scan_files(spark, root).filter(F.startswith("path", F.lit("b=")))
+    lines = F.regexp_count(F.col("content").cast("string"), F.lit("\n"))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.sum("length").alias("bytes"), F.sum(lines).cast("bigint").alias("lines"))
+
+
+@query("write_version", "SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 2 AS BIGINT) AS version FROM orders")
+def write_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of a table beside each other: writing the second leaves the first as it is."""
+    root = work_folder(spark, "versions")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    paths = [SK.write_version(o.filter(F.col("o_orderkey") % 2 == v), root, str(v), ("o_orderstatus",)) for v in (0, 1)]
+    parts = [spark.read.parquet(p).select("o_orderkey", "o_orderstatus", F.lit(v).cast("bigint").alias("version")) for v, p in enumerate(paths)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("read_labels", """SELECT 'c' || c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN 'A B' ELSE 'C' END AS grades, CASE WHEN c_custkey % 3 = 0 THEN 'D' WHEN c_custkey % 2 = 0 THEN 'A B' ELSE 'C' END AS default_grades,
+ CASE WHEN c_custkey % 5 = 0 THEN 'R' || (c_custkey % 7) ELSE '' END AS must FROM customer""")
+def read_labels(spark: SparkSession, sf: str) -> DataFrame:
+    root = work_folder(spark, "labels")
+    k = F.col("c_custkey")
+    when = lambda m, *v: F.when(k % m == 0, F.array(*[F.lit(x) if isinstance(x, str) else x for x in v]))
+    table(spark, sf, "customer").select(F.to_json(F.struct(
+        F.concat(F.lit("c"), k.cast("string")).alias("path"), F.coalesce(when(2, "A", "B"), F.array(F.lit("C"))).alias("grades"), when(3, "D").alias("default_grades"),
+        when(5, F.concat(F.lit("R"), (k % 7).cast("string"))).alias("must"))).alias("value")).write.text(root)
+    out = RP.read_labels(spark, root)
+    return out.select("path", *[F.array_join(c, " ").alias(c) for c in ("grades", "default_grades", "must")])
 
 
 @query("keep_text", "SELECT doc_id FROM documents WHERE doc_id % 7 <> 0")
