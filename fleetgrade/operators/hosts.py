@@ -257,56 +257,59 @@ DOCKER_SCHEMA = (
 )
 
 
+def _instructions(numbered: Iterator[tuple[int, str]], escape: str) -> Iterator[list[tuple[int, str]]]:
+    """The lines of one instruction after the other; blank lines and comments are left out, also between continued lines."""
+    group: list[tuple[int, str]] = []
+    for n, s in numbered:
+        if s.strip() and not s.lstrip().startswith("#"):
+            group.append((n, s))
+            if not s.rstrip().endswith(escape):
+                yield group
+                group = []
+    if group:
+        yield group
+
+
+def _here_document(numbered: Iterator[tuple[int, str]], end: str, indented: bool) -> tuple[list[tuple[int, str]], int | None]:
+    """The lines up to the end word, and the line of the end word if there is one."""
+    body: list[tuple[int, str]] = []
+    for n, s in numbered:
+        if (s.strip() if indented else s) == end:
+            return body, n
+        body.append((n, s))
+    return body, None
+
+
 def _docker(text: str) -> Iterator[tuple]:
     """(line, end line, instruction, arguments, shell, pipefail, shell lines) of one file."""
-    src = text.replace("\r\n", "\n").split("\n")
-    if src and not src[-1]:
-        src.pop()
-    escape, shell, pipefail, i = "\\", "sh", False, 0
-    for s in takewhile(lambda s: s.startswith("#"), src):
-        m = _ESCAPE.match(s)
-        escape = m.group(1) if m else escape
-    idle = lambda s: not s.strip() or s.lstrip().startswith("#")
-    while i < len(src):
-        if idle(src[i]):
-            i += 1
+    lines = text.replace("\r\n", "\n").removesuffix("\n").split("\n")
+    named = [m.group(1) for m in map(_ESCAPE.match, takewhile(lambda s: s.startswith("#"), lines)) if m]
+    escape = named[-1] if named else "\\"
+    numbered = iter(enumerate(lines, 1))
+    shell, pipefail = "sh", False
+    for group in _instructions(numbered, escape):
+        (line, head), last = group[0], group[-1][0]
+        start = _INSTRUCTION.match(head)
+        if not start:
             continue
-        end = i
-        while end < len(src) - 1 and src[end].rstrip().endswith(escape):
-            end += 1
-            while end < len(src) - 1 and idle(src[end]):
-                end += 1
-        m = _INSTRUCTION.match(src[i])
-        if m:
-            instr = m.group(2).upper()
-            joined = " ".join(s for j, s in enumerate(src[i : end + 1]) if j == 0 or not s.lstrip().startswith("#"))
-            args = joined.replace(escape + " ", " ")[m.end() :].strip()
-            code = []
-            if instr == "SHELL":
-                words = re.findall(r'"([^"]*)"', joined)
-                name = words[0].rsplit("/", 1)[-1] if words else ""
-                shell = name if name in ("bash", "sh", "dash") else None
-                pipefail = "pipefail" in words
-            used, stop = shell, end
-            if instr == "RUN" and shell:
-                rest = src[i][m.end() :]
-                opts = _RUN_OPTS.match(rest)
-                rest = rest[opts.end() :] if opts else rest
-                doc = _RUN_DOC.match(rest)
-                if doc:
-                    j = i + 1
-                    while j < len(src) and (src[j].strip() if doc.group(1) else src[j]) != doc.group(3):
-                        code.append((j + 1, src[j]))
-                        j += 1
-                    stop = min(j, len(src) - 1)
-                    if code and code[0][1].startswith("#!"):
-                        used = "bash" if "bash" in code[0][1] else "sh"
-                elif not rest.startswith("["):
-                    code.append((i + 1, " " * (len(src[i]) - len(rest)) + rest))
-                    code += [(j + 1, src[j]) for j in range(i + 1, end + 1) if not idle(src[j])]
-            yield i + 1, stop + 1, instr, args, used, pipefail, code
-            end = stop
-        i = end + 1
+        instr, whole = start.group(2).upper(), " ".join(s for _, s in group)
+        used, code = shell, []
+        if instr == "SHELL":
+            words = re.findall(r'"([^"]*)"', whole)
+            program = words[0].rpartition("/")[2] if words else ""
+            used = shell = program if program in ("bash", "sh", "dash") else None
+            pipefail = "pipefail" in words
+        elif instr == "RUN" and shell:
+            body = _RUN_OPTS.sub("", head[start.end():])
+            doc = _RUN_DOC.match(body)
+            if doc:
+                code, closed = _here_document(numbered, doc.group(3), bool(doc.group(1)))
+                last = closed or len(lines)
+                first = code[0][1] if code else ""
+                used = ("bash" if "bash" in first else "sh") if first.startswith("#!") else used
+            elif not body.startswith("["):
+                code = [(line, body.rjust(len(head))), *group[1:]]
+        yield line, last, instr, whole.replace(f"{escape} ", " ")[start.end():].strip(), used, pipefail, code
 
 
 def docker_instructions(files: DataFrame) -> DataFrame:
@@ -395,67 +398,38 @@ _MAKE_WORD = re.compile(r"^\s*(?:ifn?eq|ifn?def|else|endif|[-s]?include)\b")
 _MAKE_SHELL = re.compile(r"^\s*(?:(?:override|export)\s+)?SHELL\s*[:?+!]?=\s*(\S+)")
 
 
+_EXPANSION = re.compile(r"\$\((?:[^()]|\([^()]*\))*\)|\$\{[^{}]*\}")
+
+
 def _unmake(text: str) -> str:
-    """A recipe line as the shell gets it; make expansions become a word of the same length."""
-    out, i = [], 0
-    while i < len(text):
-        if text[i] != "$" or i + 1 >= len(text):
-            out.append(text[i])
-            i += 1
-            continue
-        opening = text[i + 1]
-        if opening == "$":
-            out.append("$")
-            i += 2
-        elif opening in "({":
-            closing, depth, j = ")" if opening == "(" else "}", 0, i + 1
-            while j < len(text):
-                depth += (text[j] == opening) - (text[j] == closing)
-                j += 1
-                if depth == 0:
-                    break
-            out.append("x" * (j - i))
-            i = j
-        else:
-            out.append("xx")
-            i += 2
-    return "".join(out)
+    """A recipe line as the shell gets it; make expansions, inner ones first, become a word of the same length."""
+    text = text.replace("$$", "\0")
+    same = lambda m: "x" * len(m[0])
+    while _EXPANSION.search(text):
+        text = _EXPANSION.sub(same, text)
+    return re.sub(r"\$[({].*", same, re.sub(r"\$[^({]", "xx", text)).replace("\0", "$")
 
 
 def _recipes(text: str) -> Iterator[tuple[int, str, str, str]]:
     """(line, recipe text, shell text, shell) of the recipe lines of one make file."""
-    src = text.replace("\r\n", "\n").split("\n")
-    if src and not src[-1]:
-        src.pop()
-    shell, in_rule, in_define, i, out = "sh", False, False, 0, []
-    while i < len(src):
-        s = src[i]
+    shell, found = "sh", []
+    in_rule = in_define = continued = False
+    for n, s in enumerate(text.replace("\r\n", "\n").removesuffix("\n").split("\n"), 1):
+        said = _MAKE_SHELL.match(s)
         if in_define:
-            in_define = not re.match(r"^\s*endef\b", s)
-        elif s.startswith("\t") and in_rule:
-            end = i
-            while end < len(src) - 1 and src[end].endswith("\\"):
-                end += 1
-            for j in range(i, end + 1):
-                body = src[j][1:] if src[j].startswith("\t") else src[j]
-                pad = len(src[j]) - len(body)
-                if j == i:
-                    cut = len(body) - len(body.lstrip("@+- \t"))
-                    pad, body = pad + cut, body[cut:]
-                line = " " * pad + body
-                out.append((j + 1, line, _unmake(line)))
-            i = end
-        else:
-            a = _MAKE_SHELL.match(s)
-            if a:
-                shell = "sh" if a.group(1).rsplit("/", 1)[-1] in ("sh", "dash") else "bash"
-            if re.match(r"^\s*define\b", s):
-                in_define = True
-            elif s.strip() and not s.strip().startswith("#") and not _MAKE_WORD.match(s):
-                in_rule = bool(_MAKE_RULE.match(s)) and not _MAKE_ASSIGN.match(s)
-        i += 1
-    for n, recipe, code in out:
-        yield n, recipe, code, shell
+            in_define = not re.match(r"\s*endef\b", s)
+        elif continued or in_rule and s.startswith("\t"):
+            body = s.removeprefix("\t")
+            found.append((n, (body if continued else body.lstrip("@+- \t")).rjust(len(s))))
+            continued = s.endswith("\\")
+        elif re.match(r"\s*define\b", s):
+            in_define = True
+        elif s.strip() and not s.lstrip().startswith("#") and not _MAKE_WORD.match(s):
+            in_rule = bool(_MAKE_RULE.match(s)) and not _MAKE_ASSIGN.match(s)
+        if said and not in_define:
+            shell = "sh" if said.group(1).rpartition("/")[2] in ("sh", "dash") else "bash"
+    for n, recipe in found:
+        yield n, recipe, _unmake(recipe), shell
 
 
 def make_recipes(files: DataFrame) -> DataFrame:
