@@ -96,11 +96,6 @@ def function_spans(spark: SparkSession, sf: str) -> DataFrame:
     return LN.function_spans(V.lexed(spark, sf))
 
 
-@query("block_depth")
-def block_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return LN.block_depth(V.lexed(spark, sf))
-
-
 @query("secret_tokens", w("SELECT path, line, 'Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eQ' AS token FROM sln WHERE raw LIKE '%Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eQ%' AND raw NOT LIKE '%sha256%'"))
 def secret_tokens(spark: SparkSession, sf: str) -> DataFrame:
     lines = LN.to_lines(V.files(spark, sf))
@@ -200,6 +195,13 @@ def nesting_depth(spark: SparkSession, sf: str) -> DataFrame:
     return LN.block_depth(V.lexed(spark, sf)).select("path", "line", "depth")
 
 
+@query("block_depth", w("""SELECT path, max(depth) AS deepest, count(*) FILTER (depth > 0) AS inside FROM (
+  SELECT s.path, s.line, coalesce(last_value(e.depth IGNORE NULLS) OVER (PARTITION BY s.path ORDER BY s.line), 0) AS depth FROM sln s LEFT JOIN ev5 e USING (path, line)) GROUP BY path""", _DEPTH_SQL))
+def block_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Deepest line and number of nested lines of each script."""
+    return LN.block_depth(V.lexed(spark, sf)).groupBy("path").agg(F.max("depth").alias("deepest"), F.count_if(F.col("depth") > 0).alias("inside"))
+
+
 @query("deep_blocks", w("SELECT path, line, 'MNT003' AS rule, '5' AS extra FROM (SELECT *, coalesce(lag(depth) OVER (PARTITION BY path ORDER BY line), 0) AS before FROM ev5) WHERE top > 4 AND before <= 4 UNION ALL SELECT path, line, 'PERF004', NULL FROM sln WHERE raw LIKE '%$(basename %'", _DEPTH_SQL))
 def deep_blocks(spark: SparkSession, sf: str) -> DataFrame:
     lines = V.lexed(spark, sf)
