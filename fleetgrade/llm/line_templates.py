@@ -6,10 +6,11 @@ its position in at least two documents, and variable otherwise; the line with it
 tokens generalised is its template. A template that at least ``MIN_DOCS`` documents hold,
 and at least half of which is fixed, recurs: its lines are dropped everywhere.
 
-The tree is never built in one place. Leaves, tokens at positions and templates are
-counted by partial aggregates of fixed size (a leaf is open if the smallest and the largest document in it
-differ), so a line in a third of all documents is a handful of rows per task. Only lines of open
-leaves are looked at token by token.
+The tree is never built in one place. A leaf is open if the smallest and the largest document in it
+differ, a token is fixed by the same test: aggregates of fixed size, partial before each shuffle, so
+a line in a third of all documents is a row per task. Equal lines of a leaf are one pattern; only
+patterns of open leaves are looked at token by token, and those that one document
+alone holds are compared with the fixed tokens, as all tokens of the others are fixed.
 
 Defined cases: null and empty texts have no lines and stay as they are (null as empty); lines of fewer than ``MIN_TOKENS`` tokens
 always stay; rows equal in id and text are one document; a null id is a document like any other;
@@ -18,7 +19,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgrade.llm.common import cut, documents, text_of, within
@@ -29,29 +30,44 @@ MIN_DOCS = 3
 STAR = "<*>"
 
 
+BLANK = " \t\x0b\x0c\r"
+
+
+def _mask(tokens: Column) -> Column:
+    """Tokens with a digit become variable."""
+    return F.transform(tokens, lambda t: F.when(F.translate(t, "0123456789", "") == t, t).otherwise(STAR))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, tokens, leaf) of the lines that are long enough."""
+    """(doc, line, tokens, leaf) of the lines that are long enough; the tokens as they stand."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    tokens = F.filter(F.split(F.translate("raw", "\t\x0b\x0c\r", "    "), " "), lambda t: t != "")
-    lines = lines.select("doc", "line", tokens.alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
-    lines = lines.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), STAR).otherwise(t)))
-    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
+    lines = lines.select("doc", "line", F.split(F.btrim("raw", F.lit(BLANK)), f"[{BLANK}]+").alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
+    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), _mask(F.slice("tokens", 1, DEPTH))))
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, line) of the lines to drop. ``docs`` has a key ``doc`` and a text that is not null."""
     lines = _lines(docs)
-    spread = lambda df, *keys: df.groupBy(*keys).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select(*keys)
-    leaves = cut(spread(lines, "leaf"))
-    open_ = cut(lines.join(within(leaves, 2_000_000), "leaf", "left_semi").select("doc", "line", "leaf", "tokens"))
-    places = open_.select("doc", "line", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).withColumn("place", F.xxhash64("leaf", "at", "token"))
-    fixed = cut(spread(places.filter(F.col("token") != STAR), "place"))
-    kept = places.filter(F.col("token") != STAR).join(fixed, "place", "left_semi")
+    leaves = cut(_spread(lines.select("leaf", F.col("doc").alias("a"), F.col("doc").alias("b")), "leaf").select("leaf"))
+    masked = lines.join(within(leaves, 2_000_000), "leaf", "left_semi").withColumn("tokens", _mask(F.col("tokens")))
+    masked = masked.withColumn("pattern", F.xxhash64("leaf", "tokens"))
+    patterns = masked.groupBy("pattern", "leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.first("tokens").alias("tokens"))
+    patterns = cut(patterns)
+    places = patterns.select("pattern", "leaf", "a", "b", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != STAR)
+    places = places.withColumn("place", F.xxhash64("leaf", "at", "token"))
+    fixed = _spread(places, "place").select("place")
+    alone = places.filter("a = b").select("pattern", "leaf", "n", "place").join(fixed, "place", "left_semi")
     # The fixed tokens with their positions are the template; their order does not matter to the fold.
-    shaped = kept.groupBy("doc", "line", "leaf", "n").agg(F.bit_xor("place").alias("template"), F.count(F.lit(1)).alias("known"))
-    shaped = cut(shaped.filter(F.col("known") * 2 >= F.col("n")).select("doc", "line", F.xxhash64("leaf", "template", "known").alias("template")))
-    often = shaped.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    return shaped.join(often, "template", "left_semi").select("doc", "line")
+    shared = places.filter("a <> b").select("pattern", "leaf", "n", "place")
+    shaped = alone.unionByName(shared).groupBy("pattern", "leaf", "n").agg(F.bit_xor("place").alias("template"), F.count(F.lit(1)).alias("known"))
+    shaped = cut(shaped.filter(F.col("known") * 2 >= F.col("n")).select("pattern", F.xxhash64("leaf", "template", "known").alias("template")))
+    held = cut(masked.select("doc", "line", "pattern").join(within(shaped, 2_000_000), "pattern").select("doc", "line", "template"))
+    often = held.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    return held.join(often, "template", "left_semi").select("doc", "line")
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
