@@ -39,6 +39,7 @@ WIDTH = 24
 ROUNDS = 2
 RATE = 0.15
 BATCH = 4096
+STRIDE = 8 * BATCH
 FLUSH = 400_000
 CHUNKS = 16
 VOCABULARY = CLASSES * PER_CLASS
@@ -219,13 +220,16 @@ def score(docs: DataFrame, words: dict[str, int], p: Parameters) -> DataFrame:
         known, parameters = shared.value
         tokens = Tokens(known)
         for batch in batches:
-            sizes, sums = [], []
-            for (text,) in rows_of([batch], "text"):
-                t = tokens.of(text)
-                around = contexts(t)
-                sizes.append(len(t))
-                sums.append(float(sum(log_probabilities(parameters, around[a:a + 8 * BATCH], t[a:a + 8 * BATCH]).sum(dtype=np.float64) for a in range(0, len(t), 8 * BATCH))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
+            if not batch.num_rows:
+                continue
+            read = [tokens.of(text) for (text,) in rows_of([batch], "text")]
+            around, every = np.concatenate([contexts(t) for t in read]), np.concatenate(read)
+            each = [log_probabilities(parameters, around[a:a + STRIDE], every[a:a + STRIDE]) for a in range(0, len(every), STRIDE)]
+            # Texts are scored together; a text's sum is the difference of two running sums.
+            running = np.concatenate([[0.0], *each]).cumsum(dtype=np.float64)
+            ends = np.cumsum([len(t) for t in read])
+            starts = ends - [len(t) for t in read]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array(running[ends] - running[starts], pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
 
     picked = docs.select("doc_id", text_of("text").alias("text"))
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double")
