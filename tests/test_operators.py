@@ -54,7 +54,7 @@ def test_dedup_equals_the_greedy_model_in_any_input_order(spark):
         rows = _random_findings(seed)
         want = _naive_dedup(rows)
         for shuffled in (rows, random.Random(seed).sample(rows, len(rows))):
-            got = FD.deduplicate(spark.createDataFrame(shuffled, SCHEMA)).select("position").collect()
+            got = FD.deduplicate(spark.createDataFrame(shuffled, SCHEMA), 6).select("position").collect()
             assert {r.position for r in got} == want
 
 
@@ -162,7 +162,7 @@ def test_edits_do_not_overlap():
 def test_dedup_of_one_hot_file(spark):
     r = random.Random(11)
     rows = [("hot", r.choice(TOOLS), r.choice(RULES), "security", "low", r.randrange(0, 300), None, r.sample(["A*", "B1", "SYNTAX"], r.randrange(0, 2)), i) for i in range(2500)]
-    got = {x.position for x in FD.deduplicate(spark.createDataFrame(rows, SCHEMA)).select("position").collect()}
+    got = {x.position for x in FD.deduplicate(spark.createDataFrame(rows, SCHEMA), 6).select("position").collect()}
     assert got == _naive_dedup(rows)
 
 
