@@ -40,6 +40,7 @@ MARK = "▁"
 LONGEST = 256
 BUCKET_BYTES = 24 << 20
 MOST_PIECES = 1_000_000
+SPREAD = 8  # partitions of words per bucket: the edges of one are sorted in memory
 WORDS = f"{MARK}{{1,{LONGEST}}}[^{MARK}\n]{{0,{LONGEST}}}|[^{MARK}\n]{{1,{LONGEST}}}|\n"
 UNKNOWN_PENALTY = 10.0
 
@@ -76,40 +77,48 @@ def words_of(text: Column) -> Column:
 
 
 def lattice(words: DataFrame, table: Pieces) -> DataFrame:
-    """(word) to (word, edges): every piece in the word as (e, s, score, ids), by end and start."""
-    spans = f"""flatten(transform(sequence(1, length(word)), e -> transform(sequence(greatest(1, e - {table.longest - 1}), e),
-        s -> named_struct('e', e, 's', s - 1, 'piece', substring(word, s, e - s + 1)))))"""
-    parts = words.select("word", F.explode(F.expr(spans)).alias("x")).select("word", "x.e", "x.s", "x.piece")
+    """(word) to (word, edges): every piece in the word as (e, s, score, id), by end and start; unknown characters have a null id."""
+    ends = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("e"))
+    spans = ends.select("word", "e", F.explode(F.expr(f"sequence(greatest(0, e - {table.longest}), e - 1)")).alias("s"))
+    parts = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
     rows = words.sparkSession.createDataFrame(table.pieces, "known string, id int, score double")
     met = parts.join(F.broadcast(rows), F.col("piece") == F.col("known"), "left").filter("id is not null or e - s = 1")
-    if len(table.byte_ids) == 256:
-        first = table.byte_ids[0]
-        if any(table.byte_ids[b] != first + b for b in range(256)):
-            raise ValueError("byte pieces must follow each other")
-        spelled = f"transform(sequence(1, octet_length(piece)), k -> cast(conv(substring(hex(piece), 2 * k - 1, 2), 16, 10) as int) + {first})"
-    else:
-        spelled = f"array({table.unknown})"
-    edge = F.expr(f"named_struct('e', e, 's', s, 'score', coalesce(score, {table.unknown_score}D), 'ids', if(id is null, {spelled}, array(id)))")
+    edge = F.expr(f"named_struct('e', e, 's', s, 'score', coalesce(score, {table.unknown_score}D), 'id', id)")
     return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-_STEP = "array<struct<score:double,s:int,ids:array<int>>>"
+def _spelled(table: Pieces) -> str:
+    """Ids of the unknown character that ends at ``i``: its bytes, or the unknown piece."""
+    if len(table.byte_ids) < 256:
+        return f"array({table.unknown})"
+    first = table.byte_ids[0]
+    if any(table.byte_ids[b] != first + b for b in range(256)):
+        raise ValueError("byte pieces must follow each other")
+    letter = "substring(word, i, 1)"
+    return f"transform(sequence(1, octet_length({letter})), k -> cast(conv(substring(hex({letter}), 2 * k - 1, 2), 16, 10) as int) + {first})"
+
+
+_STEP = "array<struct<score:double,s:int,id:int>>"
 _BEFORE = "(if(x.s = a.e, a.score, element_at(a.done, x.s + 1).score) + x.score)"
 VITERBI = f"""aggregate(edges,
-  named_struct('done', cast(array() as {_STEP}), 'e', 0, 'score', 0D, 's', 0, 'ids', cast(array() as array<int>)),
+  named_struct('done', cast(array() as {_STEP}), 'e', 0, 'score', 0D, 's', 0, 'id', cast(null as int)),
   (a, x) -> case
-    when x.e > a.e then named_struct('done', concat(a.done, array(named_struct('score', a.score, 's', a.s, 'ids', a.ids))), 'e', x.e, 'score', {_BEFORE}, 's', x.s, 'ids', x.ids)
-    when {_BEFORE} > a.score then named_struct('done', a.done, 'e', a.e, 'score', {_BEFORE}, 's', x.s, 'ids', x.ids)
+    when x.e > a.e then named_struct('done', concat(a.done, array(named_struct('score', a.score, 's', a.s, 'id', a.id))), 'e', x.e, 'score', {_BEFORE}, 's', x.s, 'id', x.id)
+    when {_BEFORE} > a.score then named_struct('done', a.done, 'e', a.e, 'score', {_BEFORE}, 's', x.s, 'id', x.id)
     else a end)"""
-BACK = """flatten(aggregate(sequence(best.e, 1, -1), named_struct('at', best.e, 'path', cast(array() as array<array<int>>)),
-  (a, i) -> case when a.at <> i then a
-    when i = best.e then named_struct('at', best.s, 'path', array(best.ids))
-    else named_struct('at', element_at(best.done, i + 1).s, 'path', concat(array(element_at(best.done, i + 1).ids), a.path)) end).path)"""
+
+
+def _back(table: Pieces) -> str:
+    """The ids along the best edges, from the end of the word to its start."""
+    return f"""aggregate(sequence(best.e, 1, -1), named_struct('at', best.e, 'path', cast(array() as array<int>)),
+  (a, i) -> if(a.at <> i, a, named_struct(
+    'at', if(i = best.e, best.s, element_at(best.done, i + 1).s),
+    'path', concat(if(if(i = best.e, best.id, element_at(best.done, i + 1).id) is null, {_spelled(table)}, array(if(i = best.e, best.id, element_at(best.done, i + 1).id))), a.path)))).path"""
 
 
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     """(word) of distinct, not empty words to (word, ids)."""
-    return lattice(words, table).select("word", F.expr(VITERBI).alias("best")).select("word", F.expr(BACK).alias("ids"))
+    return lattice(words, table).select("word", F.expr(VITERBI).alias("best")).select("word", F.expr(_back(table)).alias("ids"))
 
 
 def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,8 +127,11 @@ def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str
     size = picked.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     dealt = picked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition("bucket")
-    asked = dealt.select("bucket", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct().repartition("word")
-    answers = asked.join(encode_words(asked.select("word").distinct(), table), "word").select(F.col("bucket").alias("home"), "word", "ids")
+    # Both aggregates read a column they would not need, so that one shuffle of texts and one of words serve both sides.
+    asked = dealt.select("bucket", "doc_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    asked = asked.groupBy("bucket", "word").agg(F.count("doc_id").alias("n")).filter("n >= 0").select("bucket", "word").repartition(SPREAD * buckets, "word")
+    words = asked.groupBy("word").agg(F.min("bucket").alias("one")).filter("one >= 0").select("word")
+    answers = asked.join(encode_words(words, table), "word").select(F.col("bucket").alias("home"), "word", "ids")
     pattern = WORDS
 
     def string(key, texts, found):
