@@ -2,8 +2,11 @@
 
     score(text) = sum_t log P(token_t | the WINDOW tokens before and after it)
 
-Tokens are the most frequent words of the corpus, counted over all documents; other words share ``TAILS``
-tokens by the hash of their last letters. The network sums one embedding per context place and token, applies tanh, and
+Every word of the corpus is a token with a probability of its own. The network predicts the most frequent words, counted over all
+documents, and ``TAILS`` groups of the other words by the hash of their last letters; a word of a group has the group's probability times
+its counted share in the group, so the probabilities of all words of the corpus sum to those of the network's outputs. The counts of the words are a
+partitioned table that grows with the corpus. Texts meet it in buckets of about ``BUCKET_WORDS`` words: each bucket asks for the
+shares of its distinct words once. As context, the words of a group look alike. The network sums one embedding per context place and token, applies tanh, and
 predicts a token by its class and its place in the class (a softmax of two levels), so a prediction costs the
 root of the vocabulary.
 
@@ -11,7 +14,7 @@ Training reads every document. In each of ``ROUNDS`` rounds the documents of one
 learned where they lie: every task runs Adagrad in numpy on its own documents from the common parameters and
 hands back its parameters, weighed by its tokens; chunks of parameters are averaged
 in two grouped steps, so what is gathered grows with the number of tasks and no task or
-driver holds more than the model times a bounded number. The model has a fixed size; scoring broadcasts it.
+driver holds more than the model times a bounded number. The network has a fixed size; scoring broadcasts it and joins the table of words.
 
 Defined cases: null and empty texts have no tokens and score 0; a null id is scored like any other and learned in the first
 round; texts of one word are predicted from padding alone; an empty table trains nothing and gives no rows; other
@@ -20,6 +23,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgrade.llm.common import documents, rows_of, small_batches, text_of
+from fleetgrade.llm.common import cut, documents, rows_of, small_batches, text_of
 
 CLASSES = 32
 PER_CLASS = 32
@@ -42,6 +46,7 @@ BATCH = 4096
 STRIDE = 8 * BATCH
 FLUSH = 400_000
 CHUNKS = 16
+BUCKET_WORDS = 3_000_000
 VOCABULARY = CLASSES * PER_CLASS
 PLACES = (-2, -1, 1, 2)
 SHAPES = {
@@ -51,8 +56,8 @@ SHAPES = {
 Parameters = dict[str, np.ndarray]
 
 
-def vocabulary(docs: DataFrame, words: int = VOCABULARY - TAILS) -> dict[str, int]:
-    """The most frequent words, of all documents, to their tokens."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(w, n): every word of all documents."""
 
     def count(batches):
         many: Counter = Counter()
@@ -67,12 +72,30 @@ def vocabulary(docs: DataFrame, words: int = VOCABULARY - TAILS) -> dict[str, in
                 yield from out()
         yield from out()
 
-    counted = docs.select(text_of("text").alias("text")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return docs.select(text_of("text").alias("text")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame, words: int = VOCABULARY - TAILS) -> dict[str, int]:
     top = counted.orderBy(F.desc("n"), "w").limit(words).collect()
     # Neighbours in frequency are dealt over the classes.
     return {r["w"]: TAILS + i for i, r in enumerate(top)}
 
 
+def vocabulary(docs: DataFrame, words: int = VOCABULARY - TAILS) -> dict[str, int]:
+    """The most frequent words, of all documents, to their tokens."""
+    return most_frequent(counts(docs), words)
+
+
+def shares(counted: DataFrame, words: dict[str, int]) -> DataFrame:
+    """(w, share): the words that are not in the vocabulary, and the logarithm of each one's share in its group."""
+    spark = counted.sparkSession
+    rare = counted.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "w string")), "w", "left_anti")
+    rare = rare.withColumn("tail", F.pmod(F.crc32(F.encode(F.right("w", F.lit(3)), "utf-8")), F.lit(TAILS)).cast("int"))
+    sums = {r["tail"]: r["n"] for r in rare.groupBy("tail").agg(F.sum("n").alias("n")).collect()}
+    whole = F.array(*[F.lit(float(sums.get(i, 0))) for i in range(TAILS)])
+    return rare.select("w", (F.log(F.col("n").cast("double")) - F.log(F.get(whole, F.col("tail")))).alias("share"))
+
+
 class Tokens(dict):
     """Token of a word: its own, or that of its last letters."""
 
@@ -212,8 +235,19 @@ def train(docs: DataFrame, words: dict[str, int], rounds: int = ROUNDS, rate: fl
     return unpack(state)
 
 
+def _sums(p: Parameters, read: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text its number of tokens and the sum of their log-probabilities."""
+    around, every = np.concatenate([contexts(t) for t in read]), np.concatenate(read)
+    each = [log_probabilities(p, around[a:a + STRIDE], every[a:a + STRIDE]) for a in range(0, len(every), STRIDE)]
+    # Texts are scored together; a text's sum is the difference of two running sums.
+    running = np.concatenate([[0.0], *each]).cumsum(dtype=np.float64)
+    ends = np.cumsum([len(t) for t in read])
+    starts = ends - [len(t) for t in read]
+    return ends - starts, running[ends] - running[starts]
+
+
 def score(docs: DataFrame, words: dict[str, int], p: Parameters) -> DataFrame:
-    """One row per document: doc_id, n_tokens, log_likelihood."""
+    """One row per document: doc_id, n_tokens, log_likelihood, of what the network predicts: words of the vocabulary, groups of the others."""
     shared = docs.sparkSession.sparkContext.broadcast((words, p))
 
     def run(batches):
@@ -222,25 +256,66 @@ def score(docs: DataFrame, words: dict[str, int], p: Parameters) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            read = [tokens.of(text) for (text,) in rows_of([batch], "text")]
-            around, every = np.concatenate([contexts(t) for t in read]), np.concatenate(read)
-            each = [log_probabilities(parameters, around[a:a + STRIDE], every[a:a + STRIDE]) for a in range(0, len(every), STRIDE)]
-            # Texts are scored together; a text's sum is the difference of two running sums.
-            running = np.concatenate([[0.0], *each]).cumsum(dtype=np.float64)
-            ends = np.cumsum([len(t) for t in read])
-            starts = ends - [len(t) for t in read]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array(running[ends] - running[starts], pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
+            n, total = _sums(parameters, [tokens.of(text) for (text,) in rows_of([batch], "text")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
 
     picked = docs.select("doc_id", text_of("text").alias("text"))
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double")
 
 
+def score_words(docs: DataFrame, words: dict[str, int], p: Parameters, share: DataFrame, buckets: int) -> DataFrame:
+    """As ``score``, of the words themselves: the words of a group have their ``share`` in it besides."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, p))
+    picked = docs.select("doc_id", text_of("text").alias("text"))
+    # One shuffle of texts serves both sides.
+    dealt = picked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition("bucket")
+
+    def ask(batches):
+        known, asked, held = shared.value[0].keys(), {}, 0
+
+        def out():
+            for bucket, some in asked.items():
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(some), pa.int32()), pa.array(list(some), pa.string())], ["home", "w"])
+            asked.clear()
+
+        for bucket, text in rows_of(batches, "bucket", "text"):
+            some = asked.setdefault(bucket, set())
+            held -= len(some)
+            some.update(text.lower().split())
+            some -= known
+            held += len(some)
+            if held > FLUSH:
+                yield from out()
+                held = 0
+        yield from out()
+
+    def run(key, texts, found):
+        known, parameters = shared.value
+        tokens, own = Tokens(known), dict(zip(found.column("w").to_pylist(), found.column("share").to_pylist(), strict=True))
+        own |= dict.fromkeys(known, 0.0)
+        counted, totals = [], []
+        for batch in texts.to_batches(max_chunksize=1024):
+            if not batch.num_rows:
+                continue
+            split = [text.lower().split() for text in batch.column("text").to_pylist()]
+            n, total = _sums(parameters, [np.fromiter(map(tokens.__getitem__, t), np.int32, len(t)) for t in split])
+            counted.append(n)
+            totals.append(total + [math.fsum(map(own.__getitem__, t)) for t in split])
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(np.concatenate(counted), pa.int64()), "log_likelihood": pa.array(np.concatenate(totals), pa.float64())})
+
+    answers = dealt.mapInArrow(ask, "home int, w string").join(share, "w")
+    kind = picked.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("home")).applyInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double")
+
+
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fit on the documents and score them: doc_id, n_tokens, log_likelihood, per_token."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = vocabulary(docs)
-    scored = score(docs, words, train(docs, words, rounds))
+    counted = cut(counts(docs))
+    words = most_frequent(counted)
+    buckets = max(1, -(-(counted.agg(F.sum("n").alias("n")).first()["n"] or 0) // BUCKET_WORDS))
+    scored = score_words(docs, words, train(docs, words, rounds), shares(counted, words), buckets)
     return scored.withColumn("per_token", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1).cast("long")))
 
 

@@ -306,6 +306,35 @@ def test_masked_lm_scores_against_brute_force(docs, clashing):
     is_set(masked_lm.pseudo_likelihood(docs.limit(0)))
 
 
+def test_masked_lm_gives_every_word_its_own_probability(spark):
+    counted = collections.Counter({f"common{i}": 12 for i in range(960)} | {f"often{i}": 9 for i in range(40)} | {f"rare{i}": 1 for i in range(500)} | {"é": 1, "ab": 2, "你好吗呀": 3})
+    texts = [(i, " ".join([w] * n)) for i, (w, n) in enumerate(counted.items())] + [(None, None), (5000, ""), (5000, "")]
+    texts += [(6001, "common1 often7 common2"), (6002, "common1 often7 common2"), (6002, "common1 often7 common2")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("w", F.lit(1))
+    counted.update("common1 often7 common2".split() * 3)
+    table = masked_lm.counts(df)
+    assert {r.w: r.n for r in table.collect()} == counted
+    words = masked_lm.most_frequent(table)
+    share = {r.w: r.share for r in masked_lm.shares(table, words).collect()}
+    assert share.keys() | words.keys() == counted.keys() and not share.keys() & words.keys()
+    tokens = masked_lm.Tokens(words)
+    inside = collections.Counter()
+    for w, x in share.items():
+        inside[tokens[w]] += math.exp(x)
+        assert math.isclose(x, math.log(counted[w] / sum(n for o, n in counted.items() if o not in words and tokens[o] == tokens[w])), rel_tol=1e-9, abs_tol=1e-12)
+    assert all(math.isclose(x, 1, rel_tol=1e-9) for x in inside.values())
+    p = masked_lm.train(df, words, 2)
+    text_of = dict(texts)
+    plain = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood + sum(share.get(w, 0) for w in (text_of[r.doc_id] or "").split())) for r in masked_lm.score(df, words, p).collect())
+    for buckets in (1, 7):
+        got = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in masked_lm.score_words(df, words, p, masked_lm.shares(table, words), buckets).collect())
+        assert [r[:2] for r in got] == [r[:2] for r in plain]
+        assert np.allclose([r[2] for r in got], [r[2] for r in plain], rtol=1e-4, atol=1e-4)
+    of = {r.doc_id: r.log_likelihood for r in masked_lm.pseudo_likelihood(df).collect()}
+    one = next(i for i, t in texts if t and t.startswith("often3") and tokens["often3"] == tokens[t.split()[0]])
+    assert of[one] / 9 > min(of[i] for i, t in texts if t and t.startswith("rare"))
+
+
 # 8. personal data
 
 
