@@ -271,7 +271,7 @@ def score_words(docs: DataFrame, words: dict[str, int], p: Parameters, share: Da
     dealt = picked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition("bucket")
 
     def ask(batches):
-        known, asked, held = shared.value[0].keys(), {}, 0
+        known, asked, held = frozenset(shared.value[0]), {}, 0
 
         def out():
             for bucket, some in asked.items():
@@ -281,8 +281,7 @@ def score_words(docs: DataFrame, words: dict[str, int], p: Parameters, share: Da
         for bucket, text in rows_of(batches, "bucket", "text"):
             some = asked.setdefault(bucket, set())
             held -= len(some)
-            some.update(text.lower().split())
-            some -= known
+            some |= set(text.lower().split()) - known
             held += len(some)
             if held > FLUSH:
                 yield from out()
