@@ -4,7 +4,8 @@ A line's place in the tree is its number of tokens and its first ``DEPTH`` token
 tokens with a digit are variable. Inside such a leaf a token is fixed if it stands at
 its position in at least two documents, and variable otherwise; the line with its variable
 tokens generalised is its template. A template that at least ``MIN_DOCS`` documents hold,
-and at least half of which is fixed, recurs: its lines are dropped everywhere.
+and at least half of which is fixed, recurs: its lines are dropped everywhere. With ``long_docs``, so many documents
+are enough for a template of ``LONG_TOKENS`` tokens or more.
 
 The tree is never built in one place. A leaf is open if the smallest and the largest document in it
 differ, a token is fixed by the same test: aggregates of fixed size, partial before each shuffle, so
@@ -27,6 +28,8 @@ from fleetgrade.llm.common import cut, documents, text_of, within
 DEPTH = 4
 MIN_TOKENS = 5
 MIN_DOCS = 3
+LONG_TOKENS = 50
+LONG_DOCS = 2
 STAR = "<*>"
 
 
@@ -49,7 +52,7 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
     """(doc, line) of the lines to drop. ``docs`` has a key ``doc`` and a text that is not null."""
     lines = _lines(docs)
     leaves = cut(_spread(lines.select("leaf", F.col("doc").alias("a"), F.col("doc").alias("b")), "leaf").select("leaf"))
@@ -64,16 +67,17 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # The fixed tokens with their positions are the template; their order does not matter to the fold.
     shared = places.filter("a <> b").select("pattern", "leaf", "n", "place")
     shaped = alone.unionByName(shared).groupBy("pattern", "leaf", "n").agg(F.bit_xor("place").alias("template"), F.count(F.lit(1)).alias("known"))
-    shaped = cut(shaped.filter(F.col("known") * 2 >= F.col("n")).select("pattern", F.xxhash64("leaf", "template", "known").alias("template")))
-    held = cut(masked.select("doc", "line", "pattern").join(within(shaped, 2_000_000), "pattern").select("doc", "line", "template"))
-    often = held.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    shaped = cut(shaped.filter(F.col("known") * 2 >= F.col("n")).select("pattern", F.xxhash64("leaf", "template", "known").alias("template"), (F.col("n") >= LONG_TOKENS).alias("long")))
+    held = cut(masked.select("doc", "line", "pattern").join(within(shaped, 2_000_000), "pattern").select("doc", "line", "template", "long"))
+    enough = F.when(F.col("long"), min_docs if long_docs is None else long_docs).otherwise(min_docs)
+    often = held.select("template", "long", "doc").distinct().groupBy("template", "long").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= enough)
     return held.join(often, "template", "left_semi").select("doc", "line")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text without its recurring lines."""
     picked = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    gone = recurring_lines(picked, min_docs).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    gone = recurring_lines(picked, min_docs, long_docs).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     met = picked.join(gone, "doc", "left").withColumn("lines", lines)
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)), "\n"))

@@ -465,6 +465,15 @@ def test_line_templates_match_sql(spark, docs, clashing):
     is_set(line_templates.drop_recurring(docs.limit(0)))
 
 
+def test_line_templates_long_passage_in_two_documents(spark):
+    passage, short = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)), "a line of only seven tokens here"
+    texts = [f"first {w} text stands alone\n{passage}\n{short}\nends {w}" for w in ("red", "green")] + ["another text that holds " + passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(df, long_docs=line_templates.LONG_DOCS).collect()}
+    assert got == {i: t.replace(passage + "\n", "") for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(df).collect()} == dict(enumerate(texts))
+
+
 # pipeline
 
 
