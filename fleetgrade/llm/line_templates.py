@@ -5,7 +5,8 @@ tokens with a digit are variable. Inside such a leaf a token is fixed if it stan
 its position in at least two documents, and variable otherwise; the line with its variable
 tokens generalised is its template. A template that at least ``MIN_DOCS`` documents hold,
 and at least half of which is fixed, recurs: its lines are dropped everywhere. With ``long_docs``, so many documents
-are enough for a template of ``LONG_TOKENS`` tokens or more.
+are enough for a template of ``LONG_TOKENS`` tokens or more. With ``short``, lines of fewer than ``MIN_TOKENS`` tokens have leaves of
+their own: all their tokens, digits as they stand, so such lines recur if they are equal. ``op10_whole_lines`` does both.
 
 The tree is never built in one place. A leaf is open if the smallest and the largest document in it
 differ, a token is fixed by the same test: aggregates of fixed size, partial before each shuffle, so
@@ -14,7 +15,7 @@ patterns of open leaves are looked at token by token, and those that one documen
 alone holds are compared with the fixed tokens, as all tokens of the others are fixed.
 
 Defined cases: null and empty texts have no lines and stay as they are (null as empty); lines of fewer than ``MIN_TOKENS`` tokens
-always stay; rows equal in id and text are one document; a null id is a document like any other;
+stay unless ``short`` is set, blank lines always; rows equal in id and text are one document; a null id is a document like any other;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -41,26 +42,29 @@ def _mask(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(F.translate(t, "0123456789", "") == t, t).otherwise(STAR))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, tokens, leaf) of the lines that are long enough; the tokens as they stand."""
+def _lines(docs: DataFrame, short: bool) -> DataFrame:
+    """(doc, line, tokens, leaf) of the lines that are long enough, or with ``short`` of all that are not blank; the tokens as they stand."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("doc", "line", F.split(F.btrim("raw", F.lit(BLANK)), f"[{BLANK}]+").alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
-    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), _mask(F.slice("tokens", 1, DEPTH))))
+    lines = lines.select("doc", "line", F.split(F.btrim("raw", F.lit(BLANK)), f"[{BLANK}]+").alias("tokens"))
+    lines = lines.filter(F.col("tokens")[0] != "" if short else F.size("tokens") >= MIN_TOKENS)
+    path = _mask(F.slice("tokens", 1, DEPTH))
+    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), F.when(F.size("tokens") < MIN_TOKENS, F.col("tokens")).otherwise(path) if short else path))
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None, short: bool = False) -> DataFrame:
     """(doc, line) of the lines to drop. ``docs`` has a key ``doc`` and a text that is not null."""
-    lines = _lines(docs)
+    lines = _lines(docs, short)
+    plain = F.size("tokens") < MIN_TOKENS if short else F.lit(False)
     leaves = cut(_spread(lines.select("leaf", F.col("doc").alias("a"), F.col("doc").alias("b")), "leaf").select("leaf"))
-    masked = lines.join(within(leaves, 2_000_000), "leaf", "left_semi").withColumn("tokens", _mask(F.col("tokens")))
+    masked = lines.join(within(leaves, 2_000_000), "leaf", "left_semi").withColumn("tokens", F.when(plain, F.col("tokens")).otherwise(_mask(F.col("tokens"))))
     masked = masked.withColumn("pattern", F.xxhash64("leaf", "tokens"))
     patterns = masked.groupBy("pattern", "leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.first("tokens").alias("tokens"))
     patterns = cut(patterns)
-    places = patterns.select("pattern", "leaf", "a", "b", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != STAR)
+    places = patterns.select("pattern", "leaf", "a", "b", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).filter((F.col("token") != STAR) | (F.col("n") < MIN_TOKENS))
     places = places.withColumn("place", F.xxhash64("leaf", "at", "token"))
     fixed = _spread(places, "place").select("place")
     alone = places.filter("a = b").select("pattern", "leaf", "n", "place").join(fixed, "place", "left_semi")
@@ -74,10 +78,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int |
     return held.join(often, "template", "left_semi").select("doc", "line")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None, short: bool = False) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text without its recurring lines."""
     picked = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    gone = recurring_lines(picked, min_docs, long_docs).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    gone = recurring_lines(picked, min_docs, long_docs, short).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     met = picked.join(gone, "doc", "left").withColumn("lines", lines)
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)), "\n"))
@@ -89,7 +93,12 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), "text")
 
 
-QUERIES = {"op10_line_templates": op10_line_templates}
+def op10_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every length, long ones from two documents on."""
+    return drop_recurring(documents(spark, sf_dir), long_docs=LONG_DOCS, short=True)
+
+
+QUERIES = {"op10_line_templates": op10_line_templates, "op10_whole_lines": op10_whole_lines}
 ORACLES = {
     "op10_line_templates": rf"""
 WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
@@ -104,6 +113,23 @@ s AS (SELECT doc, line, n, leaf, string_agg(place || ' ' || token, ' ' ORDER BY
 m AS (SELECT * FROM s WHERE known * 2 >= n),
 g AS (SELECT DISTINCT doc, line FROM m JOIN (SELECT leaf, template FROM m GROUP BY ALL HAVING count(DISTINCT doc) >= {MIN_DOCS}) USING (leaf, template)),
 k AS (SELECT doc, list(line) AS gone FROM g GROUP BY doc)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i] FOR i IN list_filter(range(1, len(lines) + 1), lambda j: NOT list_contains(gone, j - 1))], chr(10)) END AS text
+FROM l LEFT JOIN k USING (doc)""",
+    "op10_whole_lines": rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc, doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM d),
+r AS (SELECT doc, unnest(lines) AS raw, unnest(range(len(lines))) AS line FROM l),
+w AS (SELECT doc, line, list_filter(string_split(translate(raw, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '') AS words FROM r),
+t AS (SELECT doc, line, len(words) AS n, [CASE WHEN len(words) >= {MIN_TOKENS} AND regexp_matches(x, '[0-9]') THEN '{STAR}' ELSE x END FOR x IN words] AS tokens FROM w WHERE len(words) > 0),
+p AS (SELECT doc, line, n, n || ' ' || array_to_string(CASE WHEN n < {MIN_TOKENS} THEN tokens ELSE tokens[1:{DEPTH}] END, ' ') AS leaf, tokens FROM t),
+o AS (SELECT p.* FROM p JOIN (SELECT leaf FROM p GROUP BY leaf HAVING min(doc) <> max(doc)) USING (leaf)),
+e AS (SELECT doc, line, n, leaf, unnest(tokens) AS token, unnest(range(n)) AS place FROM o),
+f AS (SELECT leaf, place, token FROM e WHERE token <> '{STAR}' OR n < {MIN_TOKENS} GROUP BY ALL HAVING min(doc) <> max(doc)),
+s AS (SELECT doc, line, n, leaf, string_agg(place || ' ' || token, ' ' ORDER BY place) AS template, count(*) AS known FROM e JOIN f USING (leaf, place, token) GROUP BY doc, line, n, leaf),
+m AS (SELECT * FROM s WHERE known * 2 >= n),
+g AS (SELECT DISTINCT doc, line FROM m JOIN (SELECT n, leaf, template FROM m GROUP BY ALL HAVING count(DISTINCT doc) >= CASE WHEN n >= {LONG_TOKENS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END) USING (leaf, template)),
+k AS (SELECT doc, list(line) AS gone FROM g GROUP BY doc)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i] FOR i IN list_filter(range(1, len(lines) + 1), lambda j: NOT list_contains(gone, j - 1))], chr(10)) END AS text
 FROM l LEFT JOIN k USING (doc)""",

@@ -474,6 +474,17 @@ def test_line_templates_long_passage_in_two_documents(spark):
     assert {r.doc_id: r.text for r in line_templates.drop_recurring(df).collect()} == dict(enumerate(texts))
 
 
+def test_line_templates_short_lines(spark, docs):
+    texts = [f"All rights reserved.\n\nPage {i}\n7\n<*>\n{w} stays" for i, w in enumerate(("red", "green", "blue"))] + ["All rights  reserved.", "Page 1\nred stays", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = line_templates.drop_recurring(df, long_docs=line_templates.LONG_DOCS, short=True)
+    assert {r.doc_id: r.text for r in got.collect()} == {0: "\nPage 0\nred stays", 1: "\nPage 1\ngreen stays", 2: "\nPage 2\nblue stays", 3: "", 4: texts[4], 5: "", 6: ""}
+    unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    for some in (df, unique, df.union(unique.select(F.col("doc_id") + 100, "text"))):
+        got = line_templates.drop_recurring(some, long_docs=line_templates.LONG_DOCS, short=True)
+        assert sorted(map(repr, map(tuple, got.collect()))) == _sql("op10_whole_lines", line_templates, some)
+
+
 # pipeline
 
 
