@@ -11,6 +11,9 @@ the best path of a text is that of its words, one after the other. Per distinct
 4. fold Viterbi over the edges with the higher-order function ``aggregate``: best score of every position, ties to the
    longer piece, then back along the best edges.
 
+A word of more than ``LONGEST`` characters (a run without spaces or line ends) is not shipped: it is encoded whole where its
+text lies, by the same recurrence over the same table, in time and memory linear in its length.
+
 Texts meet the encodings of their words in buckets of about ``BUCKET_BYTES`` of text: each bucket asks
 for its distinct words once, and one Arrow kernel strings the answers together. Scores come
 from the piece table. The path is that of the library's unigram model over the same table; a file
@@ -19,14 +22,15 @@ trained by merges has an order of merges besides, which a sum of scores does not
 Decoding looks ids up in one constant array and joins their bytes; it is exact for every text
 without the marker character itself, which reads as a space.
 
-Defined cases: null and empty texts have no ids and decode to the empty string; a run of one kind (markers or other characters)
-longer than ``LONGEST`` is cut there, so memory per word is bounded; a null id is carried along;
+Defined cases: null and empty texts have no ids and decode to the empty string; a null id is carried along;
 repeated rows give repeated rows; an empty table gives none; ids outside the vocabulary decode to nothing.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -41,7 +45,7 @@ LONGEST = 256
 BUCKET_BYTES = 24 << 20
 MOST_PIECES = 1_000_000
 SPREAD = 8  # partitions of words per bucket: the edges of one are sorted in memory
-WORDS = f"{MARK}{{1,{LONGEST}}}[^{MARK}\n]{{0,{LONGEST}}}|[^{MARK}\n]{{1,{LONGEST}}}|\n"
+WORDS = f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
 UNKNOWN_PENALTY = 10.0
 
 
@@ -57,6 +61,34 @@ class Pieces:
         self.longest = max((len(p) for p, *_ in pieces), default=1)
         self.unknown_score = min((s for *_, s in pieces), default=0.0) - UNKNOWN_PENALTY
 
+    @cached_property
+    def known(self) -> dict[str, tuple[float, int]]:
+        return {p: (score, i) for p, i, score in self.pieces}
+
+    def path(self, word: str) -> list[int]:
+        """The ids of a long word: the best score of every position, ties to the longer piece, then back along the best edges."""
+        n = len(word)
+        score, start, ids = array("d", [0.0]) * (n + 1), array("q", [0]) * (n + 1), array("q", [-1]) * (n + 1)
+        get, unknown = self.known.get, (self.unknown_score, -1)
+        for e in range(1, n + 1):
+            best = None
+            for s in range(max(0, e - self.longest), e):
+                edge = get(word[s:e]) or (unknown if e - s == 1 else None)
+                if edge and (best is None or score[s] + edge[0] > best):
+                    best = score[s] + edge[0]
+                    start[e], ids[e] = s, edge[1]
+            score[e] = best
+        out, e = [], n
+        while e:
+            if ids[e] >= 0:
+                out.append(ids[e])
+            elif len(self.byte_ids) < 256:
+                out.append(self.unknown)
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(word[start[e]:e].encode()))
+            e = start[e]
+        return out[::-1]
+
     @classmethod
     def read(cls, path: str) -> Pieces:
         from sentencepiece import SentencePieceProcessor
@@ -68,6 +100,19 @@ class Pieces:
         return cls([(model.id_to_piece(i), i, model.get_score(i)) for i in plain], byte_ids, model.unk_id(), len(every))
 
 
+class Spelled(dict):
+    """Ids of the words of a bucket; of a long word by its own path, which is not kept."""
+
+    def __init__(self, found, table: Pieces):
+        super().__init__(found)
+        self.table = table
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(word) <= LONGEST:
+            raise KeyError(word)
+        return self.table.path(word)
+
+
 def normal(text: Column) -> Column:
     return F.when(text == "", "").otherwise(F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK))))
 
@@ -129,13 +174,13 @@ def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str
     dealt = picked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition("bucket")
     # Both aggregates read a column they would not need, so that one shuffle of texts and one of words serve both sides.
     asked = dealt.select("bucket", "doc_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    asked = asked.groupBy("bucket", "word").agg(F.count("doc_id").alias("n")).filter("n >= 0").select("bucket", "word").repartition(SPREAD * buckets, "word")
+    asked = asked.filter(F.length("word") <= LONGEST).groupBy("bucket", "word").agg(F.count("doc_id").alias("n")).filter("n >= 0").select("bucket", "word").repartition(SPREAD * buckets, "word")
     words = asked.groupBy("word").agg(F.min("bucket").alias("one")).filter("one >= 0").select("word")
     answers = asked.join(encode_words(words, table), "word").select(F.col("bucket").alias("home"), "word", "ids")
-    pattern = WORDS
+    pattern, shared = WORDS, docs.sparkSession.sparkContext.broadcast(table)
 
     def string(key, texts, found):
-        spell = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
+        spell = Spelled(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True), shared.value)
         get, cut = spell.__getitem__, re.compile(pattern).findall
         for batch in texts.to_batches(max_chunksize=512):
             rows = [list(chain.from_iterable(map(get, cut(MARK + t.replace(" ", MARK))))) if t else [] for t in batch.column("text").to_pylist()]

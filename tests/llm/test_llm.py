@@ -191,6 +191,17 @@ def test_pieces_long_runs_come_back(spark, unigram):
     assert all(r.restored for r in pieces.encoded(df, unigram[0]).collect())
 
 
+def test_pieces_long_runs_match_the_library(spark, unigram):
+    table, library = unigram
+    rng = random.Random(4)
+    runs = ["x" * 3000, " " * 700 + "ab", "".join(rng.choices("etaoinshr", k=3000)), "".join(rng.choices("的一是不了人我在有他", k=3000)), "see " + "".join(rng.choices("aeinr0123+/", k=1500)) + " end\n" + "\x07é𝔘" * 200,
+            "".join(rng.choices("eatn", k=256)), "".join(rng.choices("eatn", k=257))]
+    got = rows(pieces.encode(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), table).select("doc_id", "ids", pieces.decode("ids", table).alias("back")))
+    assert [back for *_, back in got] == runs
+    for i, ids, _ in got:
+        assert ids == library.encode(runs[i]), i
+
+
 # 5. toxicity
 
 
