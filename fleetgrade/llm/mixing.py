@@ -110,11 +110,13 @@ def _times() -> Column:
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS, quality: Column | None = None,
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns, once for each time they are taken. Texts are not shuffled."""
-    drawn = _drawn(docs, quality, id_col, text_col)
-    slim = cut(drawn.select(F.col(f"`{source_col}`").alias("source"), "__size", "__key", "__bin"))
-    met = drawn.join(within(plan_sources(slim, weights, most)), F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
+    named = {"id": id_col, "source": source_col, "text": text_col}
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *(F.col(f"`{c}`").alias(n) for n, c in named.items()), *([quality.alias("quality")] if quality is not None else []))
+    drawn = _drawn(packed, F.col("quality") if quality is not None else None, "id", "text")
+    slim = cut(drawn.select("source", "__size", "__key", "__bin"))
+    met = drawn.join(within(plan_sources(slim, weights, most)), F.col("source").eqNullSafe(F.col("__source")))
     copies = met.filter(F.col("__size") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _times().cast("int"))))
-    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return copies.select("__row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

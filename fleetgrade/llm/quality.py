@@ -197,7 +197,10 @@ def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Machine, cut: float = CUT) -> DataFrame:
     """The documents with a score of at least ``cut``, columns as they came."""
-    return score(docs, model, "__quality").filter(F.col("__quality") >= cut).drop("__quality")
+    name = "__quality"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).filter(F.col(name) >= cut).drop(name)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
