@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgrade import dims
+from fleetgrade.catalog import RULES
 from fleetgrade.functions import scalars as S
 from fleetgrade.operators.prefix import next_value, occurrence
 from fleetgrade.session import cut
@@ -475,8 +476,12 @@ def add_references(findings: DataFrame) -> DataFrame:
     return findings.withColumn("refs", sort_references(merged))
 
 
-def escalate(findings: DataFrame, contexts: Iterable[str]) -> DataFrame:
-    """Raise severities by execution context; never lower them."""
+def escalate(findings: DataFrame, contexts: Iterable[str] | Column) -> DataFrame:
+    """Raise severities by execution context, the same for all rows or a column of each; never lower them."""
+    if isinstance(contexts, Column):
+        by_context = F.create_map(*[x for c, rules in dims.ESCALATIONS.items() for x in (F.lit(c), dims.literal_map({r: dims.SEVERITIES.index(s) for r, s in rules.items()}))])
+        ranks = F.transform(contexts, lambda c: F.try_element_at(F.try_element_at(by_context, c), F.col("rule")))
+        return findings.withColumn("severity", dims.severity_name(F.least(dims.severity_rank(F.col("severity")), F.array_min(ranks))))
     raised: dict[str, int] = {}
     for c in contexts:
         for rule, sev in dims.ESCALATIONS[c].items():
@@ -487,11 +492,24 @@ def escalate(findings: DataFrame, contexts: Iterable[str]) -> DataFrame:
     return findings.withColumn("severity", dims.severity_name(rank))
 
 
-def apply_config(findings: DataFrame, disabled: Iterable[str] = (), overrides: dict[str, tuple] | None = None) -> DataFrame:
-    """Drop disabled rules, under any id of the same rule, then override category and severity."""
-    off = F.array(*[F.lit(d.upper()) for d in disabled]).cast("array<string>")
+def hide_by_context(findings: DataFrame, contexts: Column) -> DataFrame:
+    """Drop built-in findings of rules that hold in other contexts only."""
+    only = {r.rule: F.array(*[F.lit(c) for c in r.contexts]) for r in RULES if r.contexts}
+    table = F.create_map(*[x for rule, where in only.items() for x in (F.lit(rule), where)])
+    return findings.filter((F.col("tool") != "builtin") | F.coalesce(F.arrays_overlap(F.try_element_at(table, F.col("rule")), contexts), F.lit(True)))
+
+
+def apply_config(findings: DataFrame, disabled: Iterable[str] | Column = (), overrides: dict[str, tuple] | Column | None = None) -> DataFrame:
+    """Drop disabled rules, under any id of the same rule, then override category and severity.
+
+    Both are the same for all rows, or columns: an array of rule ids, and a map from a rule to (category, severity).
+    """
+    off = F.transform(disabled, F.upper) if isinstance(disabled, Column) else F.array(*[F.lit(d.upper()) for d in disabled]).cast("array<string>")
     ids = F.concat(F.array(F.upper("rule")), same_rule_ids(F.col("rule")))
     out = findings.filter(~F.arrays_overlap(ids, off))
+    if isinstance(overrides, Column):
+        own = F.try_element_at(overrides, F.upper("rule"))
+        return out.withColumns({name: F.coalesce(own[name], F.col(name)) for name in ("category", "severity")})
     for slot, name in enumerate(("category", "severity")):
         table = {r.upper(): v[slot] for r, v in (overrides or {}).items() if v[slot]}
         if table:

@@ -18,24 +18,28 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-def size_factor(code_lines: Column, reference_lines: int) -> Column:
+def size_factor(code_lines: Column, reference_lines: int | Column) -> Column:
     """Medium and low penalties shrink for files longer than the reference size."""
-    ref = max(1, reference_lines)
-    return F.sqrt(F.lit(float(ref)) / F.greatest(F.lit(ref), code_lines))
+    ref = F.lit(max(1, reference_lines)) if isinstance(reference_lines, int) else F.greatest(F.lit(1), reference_lines)
+    return F.sqrt(ref.cast("double") / F.greatest(ref, code_lines))
 
 
 def rule_penalties(findings: DataFrame, files: DataFrame, profile: str = "standard") -> DataFrame:
-    """Cost of each (file, category, tool, rule, severity): weight × (1 + log2 n) × size factor."""
+    """Cost of each (file, category, tool, rule, severity): weight × (1 + log2 n) × size factor.
+
+    Weights and the reference size are those of the profile, or of the file where it has settings ``s``.
+    """
     p = dims.PROFILES[profile]
     counts = findings.groupBy("path", "category", "tool", "rule", "severity").agg(F.count("*").alias("n"))
-    weight = dims.literal_map(p["weights"])[F.col("severity")]
+    own = "s" in files.columns
+    weight = F.try_element_at(F.col("s.weights") if own else dims.literal_map(p["weights"]), F.col("severity"))
     factor = F.when(F.col("severity").isin("critical", "high"), F.lit(1.0)).otherwise(
-        size_factor(F.coalesce("code_lines", F.lit(0)), p["reference_lines"])
+        size_factor(F.coalesce("code_lines", F.lit(0)), F.col("s.reference_lines") if own else p["reference_lines"])
     )
     return (
-        counts.join(files.select("path", "code_lines"), "path", "left")
+        counts.join(files.select("path", "code_lines", *(["s"] if own else [])), "path", "left")
         .withColumn("cost", F.round(weight * (1 + F.log2("n")) * factor, 9))
-        .drop("code_lines")
+        .drop("code_lines", "s")
     )
 
 

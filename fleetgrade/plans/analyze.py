@@ -21,6 +21,7 @@ from fleetgrade.operators import python as PY
 from fleetgrade.operators import scoring as AG
 from fleetgrade.operators import shell_rules as SR
 from fleetgrade.session import cut
+from fleetgrade.settings import repo_of, settings_of
 from fleetgrade.sources.tools import read_outputs, tool_runs
 
 
@@ -47,22 +48,23 @@ class Report:
     impacts: DataFrame
 
 
-def raw_findings(model: DataFrame, options: Options, inventory: DataFrame | None = None) -> DataFrame:
+def raw_findings(model: DataFrame, options: Options, inventory: DataFrame | None, settings: DataFrame, roots: DataFrame) -> DataFrame:
     """Built-in, command, dependency and custom findings of modelled files, before dedup."""
     shell = model.filter(F.col("host_kind").isNull() & (F.col("dialect") != "python"))
     python = model.filter(F.col("host_kind").isNull() & (F.col("dialect") == "python"))
     hosts = model.filter(F.col("host_kind").isNotNull())
-    limits = dims.PROFILES[options.profile]["thresholds"]
+    # The lowest limits of the fleet decide what is measured; each file's own limit decides what is found.
+    low = settings.agg(*[F.coalesce(F.min(f"s.{k}"), F.lit(0)).alias(k) for k in ("max_line", "max_nesting")]).first()
 
-    shell_lines = LN.mask_lines(shell, limits["max_nesting"])
+    shell_lines = LN.mask_lines(shell, low.max_nesting)
     # Every part is stored as soon as it is known: findings are few, and later steps plan over plain scans.
-    parts = [cut(SR.shell_findings(shell_lines, shell, options.profile, options.contexts))]
+    parts = [cut(SR.shell_findings(shell_lines, shell, settings=settings, max_line=low.max_line))]
 
     virtual = cut(HF.virtual_scripts(hosts).withColumn("has_crlf", F.lit(False)))
-    inside = SR.shell_findings(LN.mask_lines(virtual, limits["max_nesting"]), virtual, options.profile, options.contexts)
+    inside = SR.shell_findings(LN.mask_lines(virtual, low.max_nesting), virtual, settings=settings, max_line=low.max_line)
     parts.append(cut(LN.drop_embedded_rules(inside, virtual.select("path", "pipefail"))))
     host_hits = HF.host_rules(hosts).withColumn("position", (F.lit(2) * 10**12 + F.col("line") * 10**5 + F.crc32(F.concat_ws("|", "rule", "extra")) % 10**5).cast("bigint"))
-    parts.append(cut(SR.as_findings(host_hits, options.contexts)))
+    parts.append(cut(SR.as_findings(host_hits, None)))
 
     kinds = LN.python_lines(python)
     py_counts = cut(LN.count_python_lines(kinds))
@@ -74,32 +76,42 @@ def raw_findings(model: DataFrame, options: Options, inventory: DataFrame | None
     facts = cut(facts.filter("parsed").unionByName(guessed))
     py_hits = PY.python_rule_hits(py_lines, facts, py_counts)
     py_hits = py_hits.withColumn("position", (F.col("line").cast("bigint") * 1000 + F.crc32("rule") % 1000).cast("bigint"))
-    parts.append(cut(SR.as_findings(py_hits, options.contexts)))
+    parts.append(cut(SR.as_findings(py_hits, None)))
 
     if inventory is not None:
         missing = CM.missing_commands(CM.external_commands(shell_lines), CM.guarded_commands(shell_lines), inventory)
         missing = missing.withColumn("position", F.lit(3 * 10**12).cast("bigint") + F.crc32("extra"))
-        parts.append(cut(SR.as_findings(missing, options.contexts)))
+        parts.append(cut(SR.as_findings(missing, None)))
         imports = PY.python_imports(python, model, inventory)
-        roots = model.select(F.regexp_extract("path", r"^([^/]*)", 1).alias("folder")).distinct()
         wrong = PY.check_imports(imports, PY.declared_for(python, PY.declared_deps(model), roots))
-        wrong = SR.as_findings(wrong.withColumn("position", F.lit(4 * 10**12).cast("bigint") + F.crc32("extra")), options.contexts)
+        wrong = SR.as_findings(wrong.withColumn("position", F.lit(4 * 10**12).cast("bigint") + F.crc32("extra")), None)
         parts.append(cut(wrong.withColumn("tool", F.lit("pydeps"))))
     if options.custom:
         text = LN.to_lines(model, "dialect")
         parts.append(cut(UD.custom_rules(text, options.custom, model.select("path", "dialect"))))
-    return FD.union_findings([FD.complete(p) for p in parts])
+    found = FD.union_findings([FD.complete(p) for p in parts]).join(settings, "path")
+    shown = FD.hide_by_context(found, F.col("s.contexts"))
+    return shown.filter((F.col("tool") != "builtin") | ~F.array_contains("s.profile_off", F.col("rule"))).drop("s")
 
 
-def analyze(files: DataFrame, options: Options = Options(), outputs: DataFrame | None = None, inventory: DataFrame | None = None) -> Report:
+def analyze(
+    files: DataFrame, options: Options = Options(), outputs: DataFrame | None = None, inventory: DataFrame | None = None,
+    configs: DataFrame | None = None, roots: DataFrame | None = None,
+) -> Report:
     """Analyse ``files(path, content)`` with recorded tool ``outputs(path, tool, output)``.
 
+    ``configs(folder, …)`` give the files below a folder settings of their own (:mod:`fleetgrade.settings`); the options
+    are those of all other files. ``roots(folder)`` are the repositories, by default the first parts of the paths.
+
     Order: dedup, suppression, stale directives on raw findings,
     enrichment, escalation, configuration, fingerprints, masking, corrections, scores.
     """
     model = LN.with_model(files)
     labels = cut(model.select("path", "dialect", "host_kind"))
-    raw = raw_findings(model, options, inventory)
+    if roots is None:
+        roots = labels.select(repo_of().alias("folder")).distinct()
+    settings = cut(settings_of(labels, configs, roots, options.profile, options.contexts, options.disabled, options.overrides))
+    raw = raw_findings(model, options, inventory, settings, roots)
     built_in = labels.select("path", F.lit("builtin").alias("tool"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("version"), F.lit(0).cast("bigint").alias("findings"))
     runs = built_in
     if outputs is not None:
@@ -120,8 +132,8 @@ def analyze(files: DataFrame, options: Options = Options(), outputs: DataFrame |
     stale = FD.complete(FD.stale_directives(directives, raw, runs, BUILTIN_IDS).withColumn("position", F.lit(9 * 10**12).cast("bigint") + F.col("line")))
     all_kept = FD.with_priority(kept.drop("tool_rank").unionByName(stale))
 
-    off = (*options.disabled, *dims.PROFILES[options.profile]["disabled"])
-    shaped = FD.apply_config(FD.escalate(FD.enrich(all_kept), options.contexts), off, options.overrides)
+    raised = FD.escalate(FD.enrich(all_kept).join(settings, "path"), F.col("s.contexts"))
+    shaped = FD.apply_config(raised, F.col("s.disabled"), F.col("s.overrides")).drop("s")
     marked = cut(FD.attach_source(FD.fingerprint(shaped, source), source, raw))
     lexed = LN.mask_lines(model.filter(F.col("host_kind").isNull() & (F.col("dialect") != "python")))
     touched = marked.filter(F.col("rule").isin(*FX.FIXABLE, *FX.FIX_ALIASES)).select("path", "line").distinct()
@@ -134,7 +146,7 @@ def analyze(files: DataFrame, options: Options = Options(), outputs: DataFrame |
     shell_counts = LN.content_flags(model).select("path", "dialect", "total_lines", "code_lines", "comment_lines").filter("dialect <> 'python'")
     py_counts = LN.count_python_lines(LN.python_lines(model.filter("dialect = 'python'"))).select("path", F.lit("python").alias("dialect"), "total_lines", "code_lines", "comment_lines")
     listed = cut(shell_counts.unionByName(py_counts))
-    penalties = cut(AG.rule_penalties(final, listed, options.profile))
+    penalties = cut(AG.rule_penalties(final, listed.join(settings, "path")))
     return Report(
         files=listed, findings=final, tool_runs=runs, suppressed=FD.suppressed_count(deduped, kept), penalties=penalties,
         scores=AG.script_scores(listed, penalties), impacts=EX.rule_impacts(final, penalties))
