@@ -92,7 +92,7 @@ def _name(s: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id): the size of a document's set and the set's own 64-bit name, null for the empty set."""
+    """(doc_id, h, n_shingles, set_id): the hash of the text, the size of its set, and the set's own 64-bit name, null for the empty set."""
 
     def run(batches):
         for batch in batches:
@@ -101,9 +101,14 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
                 s = shingles(text, n)
                 sizes.append(len(s))
                 names.append(_name(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "h", "n_shingles", "set_id"])
 
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    text = text_of("text")
+    return docs.select("doc_id", _text_hash(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h binary, n_shingles long, set_id long")
+
+
+def _text_hash(text):
+    return F.unhex(F.md5(text))
 
 
 def shared_shingles(firsts: DataFrame, n: int, percent: int, hot: int = HOT) -> np.ndarray:
@@ -315,8 +320,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", F.desc("anchor"), "id")
 
 
-def linked_sets(firsts: DataFrame, n: int, percent: int, hot: int = HOT) -> DataFrame:
-    """(a, b): links between sets that join everything the threshold joins. ``firsts`` has (doc_id, text) of one document per set."""
+def linked_sets(firsts: DataFrame, classes: DataFrame, n: int, percent: int, hot: int = HOT) -> DataFrame:
+    """(a, b): links between sets that join everything the threshold joins.
+
+    ``firsts`` has (doc_id, text) of one document per set, ``classes`` (set_id, first) says which.
+    """
     pairs = cut(followers(prefixes(firsts, n, percent, shared_shingles(firsts, n, percent, hot)), percent))
     touched = cut(pairs.select(F.col("leader").alias("id")).unionByName(pairs.select(F.col("member").alias("id"))).distinct())
 
@@ -325,7 +333,10 @@ def linked_sets(firsts: DataFrame, n: int, percent: int, hot: int = HOT) -> Data
             found = [s for s in (shingles(t, n) for t in batch.column("text").to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "s"])
 
-    arrays = firsts.select("text").mapInArrow(again, "id long, s binary").join(within(touched, 1_000_000), "id", "left_semi")
+    # Only texts of touched sets are read again; a first id with several texts may bring sets that are not.
+    wanted = cut(classes.join(touched, F.col("set_id") == F.col("id"), "left_semi").select(F.col("first").alias("doc_id")).distinct())
+    texts = firsts.join(within(wanted, 1_000_000), "doc_id", "left_semi").select("text")
+    arrays = texts.mapInArrow(again, "id long, s binary").join(within(touched, 1_000_000), "id", "left_semi")
     arrays = cut(arrays.dropDuplicates(["id"]))
 
     # A large group is dealt over several salts, its leader copied to each.
@@ -359,26 +370,39 @@ def linked_sets(firsts: DataFrame, n: int, percent: int, hot: int = HOT) -> Data
     return stars.unionByName(cut(more))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _placed(docs: DataFrame, n: int, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_shingles, set_id) of every document, and (set_id, first, part): the component of each set."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(document_sets(docs, n))
     classes = cut(sets.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")))
-    firsts = docs.select("doc_id", text_of("text").alias("text")).join(within(classes.select(F.col("first").alias("doc_id")), 1_000_000), "doc_id", "left_semi")
-    joined = components(linked_sets(firsts, n, percent, hot))
-    part = classes.select("set_id", "first").join(joined, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("part"))
-    part = cut(part)
+    firsts = docs.select("doc_id", text_of("text").alias("text")).join(within(classes.select(F.col("first").alias("doc_id")).distinct(), 1_000_000), "doc_id", "left_semi")
+    joined = components(linked_sets(firsts, classes, n, percent, hot))
+    part = classes.join(joined, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("component", "set_id").alias("part"))
+    return sets, cut(part)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    sets, part = _placed(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), n, percent, hot)
     answer = part.join(part.groupBy("part").agg(F.min("first").alias("component_id")), "part").select("set_id", "component_id")
     met = sets.select("doc_id", "n_shingles", "set_id").join(answer, "set_id", "left")
     return met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one of smallest id, with all its columns; documents without words or id stay."""
-    found = jaccard_components(docs, n, percent, id_col, text_col)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(within(cut(gone), 1_000_000), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """One document of each component with all its columns: the one of smallest id, among texts of that id the one of smallest hash.
+
+    A document is its id and its text: another text under the id of a copy stays, rows alike in both stay or go together.
+    Documents without words or id stay.
+    """
+    doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    sets, part = _placed(docs.select(doc.alias("doc_id"), text.alias("text")), n, percent, HOT)
+    named = sets.filter("set_id is not null and doc_id is not null").select("doc_id", "h", "set_id").join(part.select("set_id", "part"), "set_id")
+    named = cut(named.select("part", F.struct("doc_id", "h").alias("one")))
+    keep = named.groupBy("part").agg(F.min("one").alias("keep"))
+    gone = cut(named.join(keep, "part").filter("one <> keep").select(F.col("one.doc_id").alias("__id"), F.col("one.h").alias("__h")).distinct())
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), doc.alias("__id"), _text_hash(text_of(text)).alias("__h"))
+    return packed.join(within(gone), ["__id", "__h"], "left_anti").select("__row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
