@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("finding_queries", "compare_queries", "script_queries", "settings_queries", "tool_queries", "host_queries", "source_queries", "code_queries", "stream_queries")
+_MODULES = ("finding_queries", "compare_queries", "script_queries", "settings_queries", "tool_queries", "host_queries", "source_queries", "code_queries", "stream_queries", "incremental_queries")
 
 
 def load_all():
