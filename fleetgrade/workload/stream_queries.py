@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgrade.operators import lines as LN
+from fleetgrade.streaming import superseded as SU
 from fleetgrade.streaming import watch as SS
 from fleetgrade.session import work_folder
 from fleetgrade.workload import event_views as V
@@ -83,6 +84,25 @@ def drop_superseded(spark: SparkSession, sf: str) -> DataFrame:
     return SS.drop_superseded(f.join(k, "position")).select("path", "position")
 
 
+@query("superseded_stream", w("SELECT f.path, f.position FROM fnd f JOIN (SELECT path, max(k % 3) AS g FROM fnd GROUP BY path) m ON m.path = f.path AND m.g = f.k % 3"))
+def superseded_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stream of micro-batches that mix the generations, with keyed state and a restart between them."""
+    k = table(spark, sf, "events").select(F.col("event_id").alias("position"), (F.get_json_object("props", "$.k").cast("int") % 3).cast("bigint").alias("generation"))
+    rows = V.findings(spark, sf).select("path", "position").join(k, "position").withColumn("modified", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    root, name = work_folder(spark, "superseded"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, SU.ROCKS)
+    try:
+        for half in (0, 1):
+            rows.filter(F.col("position") % 2 == half).repartition(2).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+            out = SU.drop_superseded_stream(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
+            out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return SS.drop_superseded(spark.read.schema(rows.schema).parquet(f"{root}/out")).select("path", "position")
+
+
 _OVERLAY = FQ.DEDUP_SQL.replace(" FROM fnd),", " FROM ovl),", 1)
 
 
