@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgrade import dims
 from fleetgrade.catalog import RULES
 from fleetgrade.functions import scalars as S
+from fleetgrade.operators.graph import connected
 from fleetgrade.operators.prefix import next_value, occurrence
 from fleetgrade.session import cut
 
-BUCKET = 8
-
 EDIT = "struct<line:int,column:int,end_line:int,end_column:int,replacement:string,rule:string>"
 FINDING_SCHEMA = (
     "path string, tool string, rule string, category string, severity string, line int, end_line int, "
@@ -85,8 +85,37 @@ def _pattern_targets(slim: DataFrame) -> DataFrame:
     return exact.select("pattern", "target").unionByName(wild)
 
 
+def _levels(top: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(top))
+
+
+def cover(first: str, last: str, top: int) -> Column:
+    """The aligned segments (level k, number at) whose disjoint union is the span: two per level at most, so twice log2 of its length.
+
+    At level k the span reaches from the first to the last whole segment of 2^k lines; an odd first one and an even last
+    one are not halves of a larger segment of the span, and so are its own.
+    """
+
+    def at(k: Column) -> Column:
+        low = F.ceil(F.col(first) / F.pow(F.lit(2.0), k)).cast("bigint")
+        end = F.floor((F.col(last) + 1) / F.pow(F.lit(2.0), k)).cast("bigint")
+        segment = lambda n: F.struct(k.cast("int").alias("k"), n.cast("bigint").alias("at"))
+        return F.array_compact(F.array(F.when((low < end) & (low % 2 != 0), segment(low)), F.when((low < end) & (end % 2 != 0), segment(end - 1))))
+
+    return F.flatten(F.transform(_levels(top), at))
+
+
+def above(line: str, top: int) -> Column:
+    """The segments that hold a line, one per level."""
+    return F.transform(_levels(top), lambda k: F.struct(k.cast("int").alias("k"), F.floor(F.col(line) / F.pow(F.lit(2.0), k)).cast("bigint").alias("at")))
+
+
 def _cross_tool_edges(slim: DataFrame) -> DataFrame:
-    """Pairs of equivalent findings of two tools that touch, as (path, src, dst) of classes."""
+    """Pairs of equivalent findings of two tools that touch, as unordered pairs (a, b) of classes.
+
+    Two spans touch if one holds the first line of the other. The segments of a span are disjoint, so such a pair meets
+    in one segment: that of the span among those that hold the line.
+    """
     holders = (
         slim.withColumn("pattern", F.explode("eqs"))
         .join(_pattern_targets(slim), "pattern")
@@ -101,17 +130,16 @@ def _cross_tool_edges(slim: DataFrame) -> DataFrame:
         F.col("wide").alias("wide2"),
         F.col("rule").alias("target"),
     )
-
-    def buckets(first: str, last: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(first) / BUCKET), F.floor(F.col(last) / BUCKET)))
-
+    longest = slim.filter("not wide").agg(F.max(F.col("last") - F.col("line") + 1)).first()[0] or 1
+    top = int(longest).bit_length()
+    lefts, rights = holders.filter(~F.col("wide")), right.filter(~F.col("wide2"))
+    split = lambda df, segments: df.withColumn("s", F.explode(segments)).select("*", "s.k", "s.at").drop("s")
+    keys = ["path", "target", "k", "at"]
     near = (
-        holders.filter(~F.col("wide"))
-        .withColumn("bucket", buckets("line", "last"))
-        .join(right.filter(~F.col("wide2")).withColumn("bucket", buckets("line2", "last2")),
-              ["path", "target", "bucket"])
-        .filter((F.col("tool") != F.col("tool2")) & (F.col("line") <= F.col("last2")) & (F.col("line2") <= F.col("last")))
-        .select("path", "cls", "cls2")
+        split(lefts, cover("line", "last", top)).join(split(rights, above("line2", top)), keys)
+        .unionByName(split(lefts, above("line", top)).join(split(rights, cover("line2", "last2", top)), keys).filter("line > line2"))
+        .filter(F.col("tool") != F.col("tool2"))
+        .select("cls", "cls2")
     )
     thin_left = holders.select("path", "cls", "tool", "wide", "target").distinct()
     thin_right = right.select("path", "cls2", "tool2", "wide2", "target").distinct()
@@ -119,36 +147,60 @@ def _cross_tool_edges(slim: DataFrame) -> DataFrame:
         thin_right.join(thin_left.filter("wide"), ["path", "target"])
         .unionByName(thin_left.filter(~F.col("wide")).join(thin_right.filter("wide2"), ["path", "target"]))
         .filter(F.col("tool") != F.col("tool2"))
-        .select("path", "cls", "cls2")
-    )
-    return (
-        near.unionByName(whole)
-        .select("path", F.least("cls", "cls2").alias("src"), F.greatest("cls", "cls2").alias("dst"))
-        .distinct()
+        .select("cls", "cls2")
     )
+    return near.unionByName(whole).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
 def _same_tool_edges(slim: DataFrame) -> DataFrame:
-    """Findings of one tool on one line with the same or an equivalent rule."""
-    a = slim.select("path", "tool", "line", F.col("prio").alias("src"), F.col("rule").alias("r1"), F.col("eqs").alias("e1"))
-    b = slim.select("path", "tool", "line", F.col("prio").alias("dst"), F.col("rule").alias("r2"), F.col("eqs").alias("e2"))
+    """Findings of one tool on one line with the same or an equivalent rule, as (src, dst), the earlier first."""
+    a = slim.select("path", "tool", "line", F.col("prio").alias("p1"), F.col("id").alias("src"), F.col("rule").alias("r1"), F.col("eqs").alias("e1"))
+    b = slim.select("path", "tool", "line", F.col("prio").alias("p2"), F.col("id").alias("dst"), F.col("rule").alias("r2"), F.col("eqs").alias("e2"))
     same = (
         (F.col("r1") == F.col("r2"))
         | F.exists("e1", lambda p: S.matches_code(p, F.col("r2")))
         | F.exists("e2", lambda p: S.matches_code(p, F.col("r1")))
     )
-    return a.join(b, ["path", "tool", "line"]).filter((F.col("src") < F.col("dst")) & same).select("path", "src", "dst")
+    return a.join(b, ["path", "tool", "line"]).filter((F.col("p1") < F.col("p2")) & same).select("src", "dst")
+
+
+# A file with more conflicting findings than this is folded by connected part, so that no file is one long task.
+FOLD_TOGETHER = 1 << 16
+
+
+def _losers(rivals: DataFrame) -> DataFrame:
+    """(id) of the findings that a kept one excludes; ``rivals(path, part, prio, id, cls, rows, classes)``.
+
+    Each part is read in order, a batch at a time: what is held are the numbers of those kept so far.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, kept, classes = None, set(), set()
+        for batch in batches:
+            gone = []
+            for path, part, me, cls, rows, others in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "id", "cls", "rows", "classes")), strict=True):
+                if (path, part) != here:
+                    here, kept, classes = (path, part), set(), set()
+                if kept.isdisjoint(rows) and classes.isdisjoint(others):
+                    kept.add(me)
+                    classes.add(cls)
+                else:
+                    gone.append(me)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["id"])
+
+    dealt = rivals.repartition("path", "part").sortWithinPartitions("path", "part", "prio")
+    return dealt.select("path", "part", "id", "cls", "rows", "classes").mapInArrow(fold, "id bigint")
 
 
 def deduplicate(findings: DataFrame, max_span: int | None = None) -> DataFrame:
     """Keep each finding unless it duplicates one kept before it (tool rank, then position).
 
-    The relation is not transitive, so the answer is the greedy one: it is found in
-    rounds over a conflict graph. In a round every finding without an earlier rival
-    left is kept, and what it conflicts with is dropped. Findings that share a position
+    The relation is not transitive, so the answer is the greedy one: conflicts are found by joins, and the conflicting
+    findings of a file are folded in order. A file with very many is folded by connected parts of its conflicts, which
+    cannot change each other. Findings that share a position
     are told apart by what they report. A finding of ``max_span`` lines or more counts
     as its first line, if a limit is given. Whole-file syntax errors conflict as one class, so pairs are
-    only formed between findings a few lines apart or between classes.
+    only formed between findings that touch or between classes.
     """
     if "tool_rank" not in findings.columns:
         findings = with_priority(findings)
@@ -171,70 +223,32 @@ def deduplicate(findings: DataFrame, max_span: int | None = None) -> DataFrame:
             F.xxhash64("tool", "rule", "line", span, eqs).alias("what"),
         ).alias("prio"),
     )
-    # Rows alike in all that matters to dedup: only the first can survive.
-    reps = cut(
-        marked.groupBy("path", "tool", "rule", "line", "last", "eqs").agg(
-            F.min_by("row", "prio").alias("row"), F.min("prio").alias("prio")
-        )
-    )
-    slim = reps.select(
-        "path", "tool", "rule", "line", "last", "eqs", "prio",
-        ((F.col("line") == 0) | (F.col("rule") == "SYNTAX")).alias("wide"),
-    )
+    # Rows alike in all that matters to dedup: only the first can survive. Stored, so that their numbers stay.
+    reps = marked.groupBy("path", "tool", "rule", "line", "last", "eqs").agg(F.min_by("row", "prio").alias("row"), F.min("prio").alias("prio"))
+    reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
+    slim = reps.select("path", "tool", "rule", "line", "last", "eqs", "prio", "id", ((F.col("line") == 0) | (F.col("rule") == "SYNTAX")).alias("wide"))
     syntax = slim.filter("rule = 'SYNTAX'")
-    classes = syntax.groupBy("path", "tool", "eqs").agg(F.min("prio").alias("cls"))
-    slim = (
-        slim.filter("rule <> 'SYNTAX'").withColumn("cls", F.col("prio"))
-        .unionByName(syntax.join(classes, ["path", "tool", "eqs"]))
-    )
-    edges = cut(
-        _same_tool_edges(slim).withColumn("by_class", F.lit(False))
-        .unionByName(_cross_tool_edges(slim).withColumn("by_class", F.lit(True)))
-    )
-    ends = edges.select("path", F.explode(F.array("src", "dst")).alias("node"), "by_class").distinct()
-    members = cut(
-        slim.select("path", "prio", "cls")
-        .join(ends.filter("by_class").select("path", F.col("node").alias("cls")), ["path", "cls"], "left_semi")
-        .unionByName(
-            slim.select("path", "prio", "cls").join(
-                ends.filter("not by_class").select("path", F.col("node").alias("prio")), ["path", "prio"], "left_semi"
-            )
-        )
-        .distinct()
-    )
-    dropped = []
-    while not edges.isEmpty():
-        rows, classes = edges.filter("not by_class"), edges.filter("by_class")
-        roots = members.join(rows.select("path", F.col("dst").alias("prio")), ["path", "prio"], "left_anti").join(
-            classes.select("path", F.col("dst").alias("cls")), ["path", "cls"], "left_anti"
-        )
-        hit_rows = rows.join(roots.select("path", F.col("prio").alias("src")), ["path", "src"], "left_semi")
-        hit_classes = classes.join(
-            roots.select("path", F.col("cls").alias("src")).distinct(), ["path", "src"], "left_semi"
-        )
-        gone = cut(
-            hit_rows.select("path", F.col("dst").alias("prio"))
-            .unionByName(
-                members.join(hit_classes.select("path", F.col("dst").alias("cls")), ["path", "cls"], "left_semi")
-                .select("path", "prio")
-            )
-            .distinct()
-        )
-        dropped.append(gone)
-        members = cut(
-            members.join(roots.select("path", "prio"), ["path", "prio"], "left_anti")
-            .join(gone, ["path", "prio"], "left_anti")
-        )
-        live = members.select("path", F.col("prio").alias("node"), F.lit(False).alias("by_class")).unionByName(
-            members.select("path", F.col("cls").alias("node"), F.lit(True).alias("by_class")).distinct()
-        )
-        edges = cut(
-            edges.join(live.withColumnRenamed("node", "src"), ["path", "src", "by_class"], "left_semi")
-            .join(live.withColumnRenamed("node", "dst"), ["path", "dst", "by_class"], "left_semi")
-        )
-    if dropped:
-        reps = reps.join(reduce(DataFrame.unionByName, dropped), ["path", "prio"], "left_anti")
-    return reps.select("row.*")
+    classes = syntax.groupBy("path", "tool", "eqs").agg(F.min_by("id", "prio").alias("cls"))
+    slim = slim.filter("rule <> 'SYNTAX'").withColumn("cls", F.col("id")).unionByName(syntax.join(classes, ["path", "tool", "eqs"]))
+    rows, pairs = cut(_same_tool_edges(slim)), cut(_cross_tool_edges(slim))
+
+    before = rows.groupBy("dst").agg(F.collect_list("src").alias("rows")).withColumnRenamed("dst", "id")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.groupBy("a").agg(F.collect_list("b").alias("classes")).withColumnRenamed("a", "cls")
+    first = rows.select(F.col("src").alias("id"), F.lit(True).alias("first")).distinct()
+    none = F.array().cast("array<bigint>")
+    met = slim.select("path", "prio", "id", "cls").join(before, "id", "left").join(others, "cls", "left").join(first, "id", "left")
+    met = met.filter("rows is not null or classes is not null or first")
+    rivals = cut(met.select("path", "prio", "id", "cls", F.coalesce("rows", none).alias("rows"), F.coalesce("classes", none).alias("classes")))
+    large = cut(rivals.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD_TOGETHER).select("path"))
+    part = rivals.withColumn("part", F.lit(0).cast("bigint"))
+    if not large.isEmpty():
+        hot = rivals.join(large, "path", "left_semi")
+        links = hot.select(F.col("id").alias("a"), F.explode(F.concat("rows", F.array("cls"))).alias("b")).unionByName(hot.select(F.col("cls").alias("a"), F.explode("classes").alias("b")))
+        parts = connected(links).select(F.col("node").alias("id"), F.col("part").alias("mine"))
+        part = rivals.join(large, "path", "left_anti").withColumn("part", F.lit(0).cast("bigint")).unionByName(
+            hot.join(parts, "id", "left").withColumn("part", F.coalesce("mine", "id")).drop("mine"))
+    return reps.join(_losers(part), "id", "left_anti").select("row.*")
 
 
 # ---------------------------------------------------------------- suppression
