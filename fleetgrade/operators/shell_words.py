@@ -20,6 +20,12 @@ ACCOUNT_FILES = ("/etc/passwd", "/etc/shadow", "/etc/crontab")
 SECRET_WORDS = ("password", "passwd", "pass", "secret", "token", "apikey", "accesskey", "privatekey", "credential")
 _ASSIGN = re.compile(r"([A-Za-z_]\w*)(\[[^\]]*\])?\+?=")
 _OPERATORS = ("&&", "||", ";;", "|&", ";", "|", "&", "(", ")")
+# Commands that run the command behind them, with their options that take a value and the operands before it.
+WRAPPERS = {
+    "builtin": ("", 0), "chroot": ("", 1), "command": ("", 0), "doas": ("uC", 0), "env": ("uC", 0), "exec": ("a", 0), "flock": ("wE", 1), "ionice": ("cnp", 0), "nice": ("n", 0),
+    "nohup": ("", 0), "parallel": ("jP", 0), "setsid": ("", 0), "stdbuf": ("ioe", 0), "sudo": ("ugpCThURDrt", 0), "time": ("fo", 0), "timeout": ("ks", 1), "xargs": ("ILnPsdEa", 0),
+}
+DEEPEST = 64
 _REDIRECTS = ("<<<", "<<-", "&>>", ">>", "<<", ">|", ">&", "<&", "<>", "&>", ">", "<")
 
 
@@ -49,14 +55,22 @@ class Command:
         return self.words[1:]
 
     def bare(self) -> tuple[str, list[str]]:
-        """Base name and arguments behind sudo and env."""
-        words = list(self.words)
-        for wrapper in ("sudo", "env"):
-            if words and plain(words[0]) == wrapper:
-                words.pop(0)
-                while words and (words[0].startswith("-") or _ASSIGN.match(words[0])):
-                    words.pop(0)
-        return (plain(words[0]).rsplit("/", 1)[-1], words[1:]) if words else ("", [])
+        """Base name and arguments behind whatever only runs the command."""
+        at, words = 0, self.words
+        valued, skipped = ("fo", 0) if "time" in self.keywords else ("", None)
+        while at < len(words):
+            if skipped is not None:
+                while at < len(words) and (words[at][:1] == "-" or _ASSIGN.match(words[at])):
+                    at += 2 if len(words[at]) == 2 and words[at][1] in valued else 1
+                at += skipped
+            if at >= len(words):
+                break
+            name = base_name(words[at])
+            if name not in WRAPPERS:
+                return name, words[at + 1:]
+            valued, skipped = WRAPPERS[name]
+            at += 1
+        return "", []
 
     def following(self) -> Iterator[Command]:
         """Commands further down the pipeline."""
@@ -71,6 +85,11 @@ def plain(word: str) -> str:
     return word[1:-1] if len(word) > 1 and word[0] == word[-1] and word[0] in "\"'" else word
 
 
+def base_name(word: str) -> str:
+    """Name of a program without its folder, and without the backslash that passes over an alias."""
+    return plain(word).removeprefix("\\").rsplit("/", 1)[-1]
+
+
 def options(args: list[str]) -> set[str]:
     """Letters of the short options."""
     return {c for a in args if re.match(r"-[A-Za-z]", a) for c in a[1:] if c.isalpha()}
@@ -87,44 +106,77 @@ def commands(code: str) -> list[Command]:
     return found
 
 
-def _quoted(s: str, i: int, found: list[Command]) -> int:
+def _handed_on(c: Command) -> Iterator[list[Command]]:
+    """Commands in the arguments of a command: strings for a shell, for another user or host, and what find runs."""
+    name, args = c.bare()
+    if name in (*SHELLS, "su"):
+        for flag, text in zip(args, args[1:]):
+            if re.fullmatch(r"-[A-Za-z]*c", flag):
+                yield commands(plain(text))
+    elif name == "ssh":
+        rest = iter(args)
+        for word in rest:
+            if not word.startswith("-"):
+                yield commands(" ".join(map(plain, rest)))
+            elif len(word) == 2 and word[1] in "BbcDEeFIiJLlmOopQRSWw":
+                next(rest, None)
+    elif name == "find":
+        starts = [i + 1 for i, a in enumerate(args) if a in ("-exec", "-execdir", "-ok", "-okdir")]
+        for start in starts:
+            one = Command("")
+            one.words = args[start:next((i for i in range(start, len(args)) if args[i] in (";", "\\;", "+", "';'")), len(args))]
+            yield [one]
+
+
+def with_inner(cmds: list[Command]) -> list[Command]:
+    """The commands and those they hand on; each of these is shorter than what it stands in."""
+    every = list(cmds)
+    for c in every:
+        for inner in _handed_on(c):
+            every += inner
+    return every
+
+
+def _quoted(s: str, i: int, found: list[Command], depth: int) -> int:
     """End of a double-quoted string; substitutions in it are read."""
     i += 1
     while i < len(s) and s[i] != '"':
         if s[i] == "\\":
             i += 2
+        elif depth >= DEEPEST:
+            i += 1
         elif s.startswith("$(", i) and not s.startswith("$((", i):
-            i = _level(s, i + 2, ")", found, "$(")
+            i = _level(s, i + 2, ")", found, "$(", depth + 1)
         elif s[i] == "`":
-            i = _level(s, i + 1, "`", found, "$(")
+            i = _level(s, i + 1, "`", found, "$(", depth + 1)
         else:
             i += 1
     return min(i + 1, len(s))
 
 
-def _word_part(s: str, i: int, found: list[Command]) -> int:
-    """End of the part of a word that starts here, or ``i`` if none does."""
+def _word_part(s: str, i: int, found: list[Command], depth: int) -> int:
+    """End of the part of a word that starts here, or ``i`` if none does. Beyond ``DEEPEST`` levels substitutions are not told apart."""
     if s[i] == "\\":
         return min(i + 2, len(s))
     if s[i] in "'":
         end = s.find("'", i + 1)
         return end + 1 if end >= 0 else len(s)
     if s[i] == '"':
-        return _quoted(s, i, found)
+        return _quoted(s, i, found, depth)
     if s.startswith("$((", i):
         end = s.find("))", i)
         return end + 2 if end >= 0 else len(s)
-    if s.startswith(("$(", "<(", ">("), i):
-        return _level(s, i + 2, ")", found, s[i : i + 2])
-    if s[i] == "`":
-        return _level(s, i + 1, "`", found, "$(")
+    if depth < DEEPEST and s.startswith(("$(", "<(", ">("), i):
+        return _level(s, i + 2, ")", found, s[i : i + 2], depth + 1)
+    if depth < DEEPEST and s[i] == "`":
+        return _level(s, i + 1, "`", found, "$(", depth + 1)
     if s.startswith("${", i):
         end = s.find("}", i)
         return end + 1 if end >= 0 else len(s)
     return i
 
 
-def _level(s: str, i: int, stop: str, found: list[Command], opener: str) -> int:
+def _level(s: str, i: int, stop: str, found: list[Command], opener: str, depth: int = 0) -> int:
     """Read the commands of one nesting level; returns the place behind it."""
     command, word, redirect, here = Command(opener), "", "", []
 
@@ -165,7 +217,7 @@ def _level(s: str, i: int, stop: str, found: list[Command], opener: str) -> int:
             end_word()
             redirect, i = operator, i + len(operator)
             continue
-        part = _word_part(s, i, found)
+        part = _word_part(s, i, found, depth)
         if part > i:
             word, i = word + s[i:part], part
             continue
@@ -270,16 +322,19 @@ def plain_http(c: Command) -> bool:
 def _removes(c: Command) -> list[str]:
     """Operands of a recursive rm."""
     name, args = c.bare()
-    return [plain(a) for a in operands(args)] if name == "rm" and options(args) & {"r", "R"} else []
+    return operands(args) if name == "rm" and options(args) & {"r", "R"} else []
 
 
 def removes_variable(c: Command) -> bool:
-    return any(re.match(r"\$(\w+|\{\w+\})(\"?/|\"?$)", p) for p in _removes(c)) and not any(":?" in p for p in _removes(c))
+    """A path in which a variable that may be empty stands before a slash, or is all there is and not quoted."""
+    words = _removes(c)
+    risky = (re.search(r"\$(\w+|\{\w+\})/", re.sub("[\"']", "", w)) or re.fullmatch(r"\$(\w+|\{\w+\})", w) for w in words if not w.startswith("'"))
+    return any(risky) and not any(":?" in w for w in words)
 
 
 def removes_system(c: Command) -> bool:
     folders = "|".join(SYSTEM_FOLDERS)
-    return any(re.fullmatch(rf"/(\*|({folders})/?\*?)?", p) for p in _removes(c))
+    return any(re.fullmatch(rf"/(\*|({folders})/?\*?)?", re.sub("[\"']", "", w)) for w in _removes(c))
 
 
 def _writes(c: Command, *tools: str) -> list[str]:
@@ -464,7 +519,9 @@ def failing(raw: str, code: str) -> list[str]:
     if raw.startswith("#!") or not raw:
         return []
     cmds = commands(code) if code and not code.isspace() else []
-    found = [name for name, check in CHECKS.items() if check(cmds, code, raw)]
+    # What a command hands on to another shell is looked at for what it endangers, not for how it is written.
+    every = with_inner(cmds)
+    found = [name for name, check in CHECKS.items() if check(every if name.startswith("SEC") else cmds, code, raw)]
     if costly_substitution(cmds):
         found.append("PERF004")
     return found
