@@ -36,6 +36,7 @@ from fleetgrade.llm.common import cut, small_batches, table
 
 BLOCK = 4096
 SCALE = 64
+TASK = 1 << 20
 LARGEST = 1 << 40
 TINY = 1e-11
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -76,7 +77,7 @@ def _blocks(distinct: DataFrame, size: int) -> DataFrame:
 
 
 def _summed(blocks: DataFrame, size: int, length: int, one) -> np.ndarray:
-    """Sum over all blocks of ``one(x)``, an array of this length: added up in every task, then by place."""
+    """Sum over all blocks of ``one(x)``, an array of this length: added up in every task, then one row per task in the JVM."""
 
     def run(batches):
         total = np.zeros(length)
@@ -85,11 +86,8 @@ def _summed(blocks: DataFrame, size: int, length: int, one) -> np.ndarray:
                 total += one(unpacked(raw.as_py(), size))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["part"])
 
-    added = blocks.select("x").mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
-    out = np.zeros(length)
-    for r in added.collect():
-        out[r["at"]] = r["v"]
-    return out
+    parts = blocks.select("x").mapInArrow(run, "part array<double>")
+    return np.array([v or 0.0 for v in parts.agg(*(F.sum(F.col("part")[i]) for i in range(length))).first()])
 
 
 class Bidiagonal:
@@ -166,6 +164,8 @@ def fit(vectors: DataFrame, size: int, most: int = 16) -> Fit | None:
         return None
     added = blocks.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
     sums = [int(r["v"]) for r in sorted(added, key=lambda r: r["at"])]
+    # A pass reads the blocks once per step: tasks of about TASK numbers, whatever number of partitions made them.
+    blocks = blocks.coalesce(max(1, -(-n * size // TASK)))
     mean = np.array([s / n for s in sums])
     total = float(_summed(blocks, size, 1, lambda x: ((x - mean) ** 2).sum())[0])
     if not total:
