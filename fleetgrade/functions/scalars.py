@@ -100,18 +100,20 @@ def looks_like_real_secret(value: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Bits per character: one pass over the sorted characters, where equal ones stand together."""
+    chars = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars).cast("double")
-    return F.aggregate(
-        F.array_distinct(chars),
-        F.lit(0.0),
-        lambda acc, c: acc - _share(chars, c, n) * F.log2(_share(chars, c, n)),
-    )
 
+    def share(run: Column) -> Column:
+        return F.when(run > 0, run / n * F.log2(run / n)).otherwise(0.0)
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["last"] == c
+        return F.struct(
+            c.alias("last"), F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"), F.when(same, acc["bits"]).otherwise(acc["bits"] - share(acc["run"])).alias("bits"))
 
-def _share(chars: Column, c: Column, n: Column) -> Column:
-    return F.size(F.filter(chars, lambda x: x == c)) / n
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("bits"))
+    return F.aggregate(chars, start, step, lambda acc: acc["bits"] - share(acc["run"]))
 
 
 def json_int(text: Column) -> Column:

@@ -362,10 +362,10 @@ def append_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("append_false_positive", w("""SELECT f.position, string_agg(CASE WHEN s.line IS NULL THEN l.raw ELSE '-' END, '|' ORDER BY l.line) AS context FROM fnd f JOIN lns l ON l.path = f.path AND l.line BETWEEN f.line - 2 AND f.line + 2
- LEFT JOIN (SELECT DISTINCT path, line FROM fnd WHERE rule = 'SEC002') s ON s.path = l.path AND s.line = l.line WHERE f.position % 10 = 0 GROUP BY f.position"""))
+ LEFT JOIN (SELECT DISTINCT path, line FROM fnd WHERE rule = 'SEC002') s ON s.path = l.path AND s.line = l.line GROUP BY f.position"""))
 def append_false_positive(spark: SparkSession, sf: str) -> DataFrame:
     f = V.findings(spark, sf)
-    out = SK.false_positive_entries(f.filter("position % 10 = 0"), V.lines(spark, sf), f.filter("rule = 'SEC002'").select("path", "line"))
+    out = SK.false_positive_entries(f, V.lines(spark, sf), f.filter("rule = 'SEC002'").select("path", "line"))
     return out.select("position", F.array_join("context", "|", "-").alias("context"))
 
 
@@ -395,16 +395,16 @@ def registered_functions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, grade(p_retailprice % 10) AS g, is_secret_name(p_name) AS secret, is_pinned_image(p_name) AS pinned, matches_rule('Brand#1*', p_brand) AS hit FROM fleetgrade_part")
 
 
-@query("shannon_entropy", """WITH c AS (SELECT doc_id, length(left(replace(text, chr(10), ''), 40)) AS n, unnest(string_split(left(replace(text, chr(10), ''), 40), '')) AS ch FROM documents WHERE length(replace(text, chr(10), '')) > 0),
+@query("shannon_entropy", """WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0),
  f AS (SELECT doc_id, n, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL) SELECT doc_id, round(-sum((k::DOUBLE / n) * log2(k::DOUBLE / n)), 6) AS bits FROM f GROUP BY doc_id""")
 def shannon_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    """Entropy of the first forty characters of each document (a token-sized text)."""
-    d = table(spark, sf, "documents").withColumn("t", F.substring(F.replace("text", F.lit("\n"), F.lit("")), 1, 40)).filter("t <> ''")
-    return d.select("doc_id", F.round(S.shannon_entropy(F.col("t")), 6).alias("bits"))
+    """Entropy of the characters of each document."""
+    d = table(spark, sf, "documents").filter("text <> ''")
+    return d.select("doc_id", F.round(S.shannon_entropy(F.col("text")), 6).alias("bits"))
 
 
-@query("real_secrets", "SELECT c_custkey, c_custkey % 5 = 4 AS hit, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END || printf('%.1f', round(c_acctbal * 10) / 10) AS delta FROM customer WHERE abs(c_acctbal) >= 1")
+@query("real_secrets", "SELECT c_custkey, c_custkey % 5 = 4 AS hit, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END || printf('%.1f', round(c_acctbal * 10) / 10) AS delta FROM customer")
 def real_secrets(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     value = F.element_at(F.array(*[F.lit(x) for x in ("short", "has a blank x", "change_me12", "aaaaaaabb", "k3yM4teri4l")]), (k % 5 + 1).cast("int"))
-    return table(spark, sf, "customer").filter("abs(c_acctbal) >= 1").select("c_custkey", S.looks_like_real_secret(value).alias("hit"), S.score_delta_text(F.col("c_acctbal")).alias("delta"))
+    return table(spark, sf, "customer").select("c_custkey", S.looks_like_real_secret(value).alias("hit"), S.score_delta_text(F.col("c_acctbal")).alias("delta"))

@@ -162,9 +162,18 @@ def host_shell_lines(spark: SparkSession, sf: str) -> DataFrame:
     return H.shell_lines(all_hosts(spark, sf)).filter("path like 'g/%' or path like 'a/%'").select("path", "line", "raw")
 
 
-@query("host_rules", f"""WITH {LAB.ctes('gl')}, {MAKE.ctes('mk')} SELECT path, rule, line FROM gl WHERE rule <> 'code' UNION ALL SELECT path, rule, line FROM mk WHERE rule = 'SEC007'""")
+_FLOW_SPOTS = """fspots AS (SELECT path, max(CASE WHEN slot = 0 THEN ix END) AS trig, max(CASE WHEN slot = 1 THEN ix END) AS perm, max(CASE WHEN slot = 3 THEN ix END) AS job,
+ max(CASE WHEN slot = 3 THEN start END) AS js, max(CASE WHEN slot = 4 THEN ix END) AS step, max(CASE WHEN slot = 4 THEN start END) AS ss FROM fl_pos GROUP BY path)"""
+
+
+@query("host_rules", f"""WITH {LAB.ctes('gl')}, {MAKE.ctes('mk')}, {DOCKER.ctes('doc')}, {_USER_SQL}, {FLOW.ctes('fl')}, {_FLOW_SPOTS}
+ SELECT path, rule, line FROM gl WHERE rule <> 'code' UNION ALL SELECT path, rule, line FROM mk WHERE rule = 'SEC007'
+ UNION ALL SELECT path, rule, line FROM doc UNION ALL SELECT path, rule, line FROM root UNION ALL SELECT path, rule, line FROM again
+ UNION ALL SELECT path, rule, line FROM fl UNION ALL SELECT path, 'CI002', CAST(js + 1 AS INTEGER) FROM fspots WHERE perm = 1 AND job = 0
+ UNION ALL SELECT path, 'CI003', CAST(ss + 2 AS INTEGER) FROM fspots WHERE trig IN (1, 2) AND step = 4""")
 def host_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return H.host_rules(all_hosts(spark, sf)).filter("path like 'g/%' or path like 'm/%'").select("path", "rule", "line")
+    """The rules of all five kinds of host files at once."""
+    return H.host_rules(all_hosts(spark, sf)).select("path", "rule", "line")
 
 
 @query("virtual_scripts", f"""WITH {PLAY.ctes('pl')} SELECT path, max(line) AS n, string_agg(extra, '|' ORDER BY line) AS text, CASE WHEN bool_or(sev = 'bash') THEN 'bash' ELSE 'sh' END AS dialect FROM pl GROUP BY path""")
