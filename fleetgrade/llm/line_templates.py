@@ -4,9 +4,9 @@ A line's place in the tree is its number of tokens and its first ``DEPTH`` token
 tokens with a digit are variable. Inside such a leaf a token is fixed if it stands at
 its position in at least two documents, and variable otherwise; the line with its variable
 tokens generalised is its template. A template that at least ``MIN_DOCS`` documents hold,
-and at least half of which is fixed, recurs: its lines are dropped everywhere. With ``long_docs``, so many documents
-are enough for a template of ``LONG_TOKENS`` tokens or more. With ``short``, lines of fewer than ``MIN_TOKENS`` tokens have leaves of
-their own: all their tokens, digits as they stand, so such lines recur if they are equal. ``op10_whole_lines`` does both.
+and at least half of which is fixed, recurs: its lines are dropped everywhere. Long lines, of ``LONG_TOKENS`` tokens or more, recur
+from ``LONG_DOCS`` documents on. Lines of fewer than ``MIN_TOKENS`` tokens have leaves of
+their own: all their tokens, digits as they stand, so they recur if they are equal.
 
 The tree is never built in one place. A leaf is open if the smallest and the largest document in it
 differ, a token is fixed by the same test: aggregates of fixed size, partial before each shuffle, so
@@ -14,13 +14,18 @@ a line in a third of all documents is a row per task. Equal lines of a leaf are
 patterns of open leaves are looked at token by token, and those that one document
 alone holds are compared with the fixed tokens, as all tokens of the others are fixed.
 
-Defined cases: null and empty texts have no lines and stay as they are (null as empty); lines of fewer than ``MIN_TOKENS`` tokens
-stay unless ``short`` is set, blank lines always; rows equal in id and text are one document; a null id is a document like any other;
+Documents, leaves, patterns, places and templates are named by 64-bit hashes: among n of them two are confused with a chance
+of n squared over 2^65, and a line is then judged by the other's documents.
+
+Defined cases: null and empty texts have no lines and stay as they are (null as empty); blank lines
+always stay; rows equal in id and text are one document; a null id is a document like any other;
 an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,25 +47,35 @@ def _mask(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(F.translate(t, "0123456789", "") == t, t).otherwise(STAR))
 
 
-def _lines(docs: DataFrame, short: bool) -> DataFrame:
-    """(doc, line, tokens, leaf) of the lines that are long enough, or with ``short`` of all that are not blank; the tokens as they stand."""
+def _tokens(raw: Column) -> Column:
+    """Runs of anything but blanks. What most lines lack, other blanks and two in a row, is looked for before it is treated."""
+    others = reduce(Column.__or__, (F.contains(raw, F.lit(c)) for c in BLANK[1:]))
+    spaced = F.when(others, F.translate(raw, BLANK[1:], BLANK[0] * len(BLANK[1:]))).otherwise(raw)
+    # A split by one character needs no pattern machine.
+    parts = F.split(spaced, BLANK[0])
+    gaps = F.contains(spaced, F.lit(BLANK[0] * 2)) | F.startswith(spaced, F.lit(BLANK[0])) | F.endswith(spaced, F.lit(BLANK[0])) | (spaced == "")
+    return F.when(gaps, F.array_remove(parts, "")).otherwise(parts)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, line, digits, tokens, leaf) of the lines that are not blank; the tokens as they stand, and whether any has a digit."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("doc", "line", F.split(F.btrim("raw", F.lit(BLANK)), f"[{BLANK}]+").alias("tokens"))
-    lines = lines.filter(F.col("tokens")[0] != "" if short else F.size("tokens") >= MIN_TOKENS)
-    path = _mask(F.slice("tokens", 1, DEPTH))
-    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), F.when(F.size("tokens") < MIN_TOKENS, F.col("tokens")).otherwise(path) if short else path))
+    lines = lines.select("doc", "line", F.col("raw").rlike("[0-9]").alias("digits"), _tokens(F.col("raw")).alias("tokens")).filter(F.size("tokens") > 0)
+    path = F.slice("tokens", 1, DEPTH)
+    path = F.when(F.col("digits") & (F.size("tokens") >= MIN_TOKENS), _mask(path)).otherwise(path)
+    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), path))
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None, short: bool = False) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """(doc, line) of the lines to drop. ``docs`` has a key ``doc`` and a text that is not null."""
-    lines = _lines(docs, short)
-    plain = F.size("tokens") < MIN_TOKENS if short else F.lit(False)
+    lines = _lines(docs)
+    variable = F.col("digits") & (F.size("tokens") >= MIN_TOKENS)
     leaves = cut(_spread(lines.select("leaf", F.col("doc").alias("a"), F.col("doc").alias("b")), "leaf").select("leaf"))
-    masked = lines.join(within(leaves, 2_000_000), "leaf", "left_semi").withColumn("tokens", F.when(plain, F.col("tokens")).otherwise(_mask(F.col("tokens"))))
+    masked = lines.join(within(leaves, 2_000_000), "leaf", "left_semi").withColumn("tokens", F.when(variable, _mask(F.col("tokens"))).otherwise(F.col("tokens")))
     masked = masked.withColumn("pattern", F.xxhash64("leaf", "tokens"))
     patterns = masked.groupBy("pattern", "leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.first("tokens").alias("tokens"))
     patterns = cut(patterns)
@@ -73,50 +88,28 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int |
     shaped = alone.unionByName(shared).groupBy("pattern", "leaf", "n").agg(F.bit_xor("place").alias("template"), F.count(F.lit(1)).alias("known"))
     shaped = cut(shaped.filter(F.col("known") * 2 >= F.col("n")).select("pattern", F.xxhash64("leaf", "template", "known").alias("template"), (F.col("n") >= LONG_TOKENS).alias("long")))
     held = cut(masked.select("doc", "line", "pattern").join(within(shaped, 2_000_000), "pattern").select("doc", "line", "template", "long"))
-    enough = F.when(F.col("long"), min_docs if long_docs is None else long_docs).otherwise(min_docs)
+    enough = F.when(F.col("long"), long_docs).otherwise(min_docs)
     often = held.select("template", "long", "doc").distinct().groupBy("template", "long").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= enough)
     return held.join(often, "template", "left_semi").select("doc", "line")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None, short: bool = False) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int = LONG_DOCS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text without its recurring lines."""
     picked = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    gone = recurring_lines(picked, min_docs, long_docs, short).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    gone = recurring_lines(picked, min_docs, long_docs).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     met = picked.join(gone, "doc", "left").withColumn("lines", lines)
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    # The set difference is by hash, so a text costs its lines and not their product with the dropped ones.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return met.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), left.alias("text"))
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drop_recurring(documents(spark, sf_dir))
-    return found.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), "text")
+    return drop_recurring(documents(spark, sf_dir))
 
 
-def op10_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every length, long ones from two documents on."""
-    return drop_recurring(documents(spark, sf_dir), long_docs=LONG_DOCS, short=True)
-
-
-QUERIES = {"op10_line_templates": op10_line_templates, "op10_whole_lines": op10_whole_lines}
-ORACLES = {
-    "op10_line_templates": rf"""
-WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc, doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM d),
-r AS (SELECT doc, unnest(lines) AS raw, unnest(range(len(lines))) AS line FROM l),
-t AS (SELECT doc, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '{STAR}' ELSE x END FOR x IN list_filter(string_split(translate(raw, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda w: w <> '')] AS tokens FROM r),
-p AS (SELECT doc, line, len(tokens) AS n, len(tokens) || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf, tokens FROM t WHERE len(tokens) >= {MIN_TOKENS}),
-o AS (SELECT p.* FROM p JOIN (SELECT leaf FROM p GROUP BY leaf HAVING min(doc) <> max(doc)) USING (leaf)),
-e AS (SELECT doc, line, n, leaf, unnest(tokens) AS token, unnest(range(n)) AS place FROM o),
-f AS (SELECT leaf, place, token FROM e WHERE token <> '{STAR}' GROUP BY ALL HAVING min(doc) <> max(doc)),
-s AS (SELECT doc, line, n, leaf, string_agg(place || ' ' || token, ' ' ORDER BY place) AS template, count(*) AS known FROM e JOIN f USING (leaf, place, token) GROUP BY doc, line, n, leaf),
-m AS (SELECT * FROM s WHERE known * 2 >= n),
-g AS (SELECT DISTINCT doc, line FROM m JOIN (SELECT leaf, template FROM m GROUP BY ALL HAVING count(DISTINCT doc) >= {MIN_DOCS}) USING (leaf, template)),
-k AS (SELECT doc, list(line) AS gone FROM g GROUP BY doc)
-SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
-  CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i] FOR i IN list_filter(range(1, len(lines) + 1), lambda j: NOT list_contains(gone, j - 1))], chr(10)) END AS text
-FROM l LEFT JOIN k USING (doc)""",
-    "op10_whole_lines": rf"""
+_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc, doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM d),
 r AS (SELECT doc, unnest(lines) AS raw, unnest(range(len(lines))) AS line FROM l),
@@ -132,5 +125,7 @@ g AS (SELECT DISTINCT doc, line FROM m JOIN (SELECT n, leaf, template FROM m GRO
 k AS (SELECT doc, list(line) AS gone FROM g GROUP BY doc)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i] FOR i IN list_filter(range(1, len(lines) + 1), lambda j: NOT list_contains(gone, j - 1))], chr(10)) END AS text
-FROM l LEFT JOIN k USING (doc)""",
-}
+FROM l LEFT JOIN k USING (doc)"""
+# Both names ask for the same; the second one is kept for those who use it.
+QUERIES = {"op10_line_templates": op10_line_templates, "op10_whole_lines": op10_line_templates}
+ORACLES = dict.fromkeys(QUERIES, _SQL)
