@@ -19,7 +19,7 @@ for its distinct words once, and one Arrow kernel strings the answers together.
 from the piece table. The path is that of the library's unigram model over the same table; a file
 trained by merges has an order of merges besides, which a sum of scores does not follow (README).
 
-Decoding looks ids up in one constant array and joins their bytes; it is exact for every text
+Decoding looks ids up in one broadcast array and joins their bytes; it is exact for every text
 without the marker character itself, which reads as a space.
 
 Defined cases: null and empty texts have no ids and decode to the empty string; a null id is carried along;
@@ -34,6 +34,7 @@ from functools import cached_property
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +127,8 @@ def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     ends = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("e"))
     spans = ends.select("word", "e", F.explode(F.expr(f"sequence(greatest(0, e - {table.longest}), e - 1)")).alias("s"))
     parts = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
-    rows = words.sparkSession.createDataFrame(table.pieces, "known string, id int, score double")
+    columns = [pa.array(c, t) for c, t in zip(zip(*table.pieces, strict=True), (pa.string(), pa.int32(), pa.float64()), strict=True)]
+    rows = words.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["known", "id", "score"]))
     met = parts.join(F.broadcast(rows), F.col("piece") == F.col("known"), "left").filter("id is not null or e - s = 1")
     edge = F.expr(f"named_struct('e', e, 's', s, 'score', coalesce(score, {table.unknown_score}D), 'id', id)")
     return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
@@ -196,18 +198,21 @@ def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str
     return dealt.groupBy("bucket").cogroup(answers.groupBy("home")).applyInArrow(one, f"doc_id {kind}, text string, ids array<int>")
 
 
-def decode(ids: str | Column, table: Pieces) -> Column:
-    """The text of an array of ids, by one constant array of the pieces' bytes."""
-    spelled = [""] * table.size
+def decode(ids: str | Column, table: Pieces, spark: SparkSession | None = None) -> Column:
+    """The text of an array of ids: the pieces' bytes joined in Arrow batches, so the table stays out of the plan."""
+    spelled = [b""] * table.size
     for piece, i, _ in table.pieces:
-        spelled[i] = piece.encode().hex()
+        spelled[i] = piece.encode()
     for byte, i in table.byte_ids.items():
-        spelled[i] = f"{byte:02x}"
-    constant = F.split(F.lit(",".join(spelled)), ",")
-    at = F.col(ids) if isinstance(ids, str) else ids
-    joined = F.array_join(F.transform(at, lambda i: F.when((i >= 0) & (i < table.size), F.get(constant, i)).otherwise("")), "")
-    text = F.replace(F.unhex(joined).cast("string"), F.lit(MARK), F.lit(" "))
-    return F.when(text.startswith(" "), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+        spelled[i] = bytes([byte])
+    sent = (spark or SparkSession.getActiveSession()).sparkContext.broadcast(spelled)
+
+    def run(every: pd.Series) -> pd.Series:
+        known = sent.value
+        texts = (b"".join(known[i] for i in ids if 0 <= i < len(known)).decode("utf-8", "replace").replace(MARK, " ") if ids is not None else None for ids in every)
+        return pd.Series([t[1:] if t and t[0] == " " else t for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "string")(F.col(ids) if isinstance(ids, str) else ids)
 
 
 def default_table() -> Pieces:
