@@ -21,7 +21,7 @@ TEXTS = [
     "alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon zeta", "Alpha beta", "", None, " ", "one", "été\n你好 𝔘 x", "a b c d e f g h " * 500,
     "a b c d e f g h " * 500, "a b c d e f g h " * 499 + "z", "x" * 3000,
 ]
-CLASH = "kept boolean, keep_id string, group_size string, size long, target string, taken string, score string, n_links string, s string, __text string"
+CLASH = "kept boolean, keep_id string, group_size string, size long, target string, taken string, score string, n_links string, s string, __text string, __size string, __bin string, __copy string, __source string, __quality string, __gone string, __id string, __h string, __row string"
 
 
 @pytest.fixture(scope="module")
@@ -431,6 +431,13 @@ def test_jaccard_against_brute_force(spark, monkeypatch, n, percent, block, spre
     assert got == _brute_jaccard(items, n, percent)
 
 
+def test_clashing_columns_come_back(docs, clashing, labels):
+    kept = clashing.withColumn("__size", F.lit("own")).withColumn("__source", F.lit("mine")).withColumn("__quality", F.col("doc_id"))
+    for out in (mixing.take_mix(kept), jaccard.drop_near_copies(kept), quality.keep_good(kept, quality.train(docs, labels), 0.0)):
+        assert out.columns == kept.columns
+        assert all((r["__size"], r["__source"], r["__quality"]) == ("own", "mine", r.doc_id) for r in out.collect())
+
+
 def test_jaccard_edges(docs, clashing):
     got = jaccard.jaccard_components(clashing).collect()
     assert len(got) == docs.count() and all((r.doc_id is None) == (r.component_id is None) for r in got)
@@ -440,6 +447,15 @@ def test_jaccard_edges(docs, clashing):
     is_set(jaccard.drop_near_copies(docs.limit(0)))
 
 
+def test_near_copies_leave_other_texts_of_an_id(spark):
+    a = " ".join(f"word{i}" for i in range(40))
+    b, c = "another text that nothing else comes near to at all", a + " end"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (4, None), (4, b)], "doc_id long, text string")
+    assert rows(jaccard.drop_near_copies(df)) == rows(spark.createDataFrame([(1, a), (2, b), (4, None)], df.schema))
+    # One id with two texts of one group: one of them stays.
+    assert jaccard.drop_near_copies(spark.createDataFrame([(7, a), (7, c), (8, a)], df.schema)).count() == 1
+
+
 def test_sub_lists_skip_only_what_cannot_match():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -469,7 +485,7 @@ def test_line_templates_match_sql(spark, docs, clashing):
     got = line_templates.drop_recurring(df)
     assert sorted(map(repr, map(tuple, got.collect()))) == _sql("op10_line_templates", line_templates, df)
     by_id = {r.doc_id: r for r in got.collect()}
-    assert by_id[0].text == "red red red red stays here as it is\nshort line" and by_id[0].n_dropped == 1 and by_id[7].text == ""
+    assert by_id[0].text == "red red red red stays here as it is" and by_id[0].n_dropped == 2 and by_id[7].text == ""
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     assert sorted(map(repr, map(tuple, line_templates.drop_recurring(unique).collect()))) == _sql("op10_line_templates", line_templates, unique)
     assert line_templates.drop_recurring(clashing).count() == docs.count()
@@ -480,19 +496,19 @@ def test_line_templates_long_passage_in_two_documents(spark):
     passage, short = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)), "a line of only seven tokens here"
     texts = [f"first {w} text stands alone\n{passage}\n{short}\nends {w}" for w in ("red", "green")] + ["another text that holds " + passage]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_templates.drop_recurring(df, long_docs=line_templates.LONG_DOCS).collect()}
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(df).collect()}
     assert got == {i: t.replace(passage + "\n", "") for i, t in enumerate(texts)}
-    assert {r.doc_id: r.text for r in line_templates.drop_recurring(df).collect()} == dict(enumerate(texts))
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(df, long_docs=line_templates.MIN_DOCS).collect()} == dict(enumerate(texts))
 
 
 def test_line_templates_short_lines(spark, docs):
     texts = [f"All rights reserved.\n\nPage {i}\n7\n<*>\n{w} stays" for i, w in enumerate(("red", "green", "blue"))] + ["All rights  reserved.", "Page 1\nred stays", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = line_templates.drop_recurring(df, long_docs=line_templates.LONG_DOCS, short=True)
+    got = line_templates.drop_recurring(df)
     assert {r.doc_id: r.text for r in got.collect()} == {0: "\nPage 0\nred stays", 1: "\nPage 1\ngreen stays", 2: "\nPage 2\nblue stays", 3: "", 4: texts[4], 5: "", 6: ""}
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
     for some in (df, unique, df.union(unique.select(F.col("doc_id") + 100, "text"))):
-        got = line_templates.drop_recurring(some, long_docs=line_templates.LONG_DOCS, short=True)
+        got = line_templates.drop_recurring(some)
         assert sorted(map(repr, map(tuple, got.collect()))) == _sql("op10_whole_lines", line_templates, some)
 
 
