@@ -34,7 +34,6 @@ from functools import cached_property
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,12 +206,12 @@ def decode(ids: str | Column, table: Pieces, spark: SparkSession | None = None)
         spelled[i] = bytes([byte])
     sent = (spark or SparkSession.getActiveSession()).sparkContext.broadcast(spelled)
 
-    def run(every: pd.Series) -> pd.Series:
+    def run(every: pa.Array) -> pa.Array:
         known = sent.value
-        texts = (b"".join(known[i] for i in ids if 0 <= i < len(known)).decode("utf-8", "replace").replace(MARK, " ") if ids is not None else None for ids in every)
-        return pd.Series([t[1:] if t and t[0] == " " else t for t in texts], dtype=object)
+        texts = (b"".join(known[i] for i in ids.as_py() if 0 <= i < len(known)).decode("utf-8", "replace").replace(MARK, " ") if ids.is_valid else None for ids in every)
+        return pa.array([t[1:] if t and t[0] == " " else t for t in texts], pa.string())
 
-    return F.pandas_udf(run, "string")(F.col(ids) if isinstance(ids, str) else ids)
+    return F.arrow_udf(run, "string")(F.col(ids) if isinstance(ids, str) else ids)
 
 
 def default_table() -> Pieces:
