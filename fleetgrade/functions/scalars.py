@@ -134,6 +134,36 @@ def reference_family(ref: Column) -> Column:
     )
 
 
+# Titles of the ten risks of 2021 in order and of five pipeline risks, as their pages spell them, and addresses of guides.
+RISKS_2021 = (
+    "Broken Access Control", "Cryptographic Failures", "Injection", "Insecure Design", "Security Misconfiguration", "Vulnerable and Outdated Components",
+    "Identification and Authentication Failures", "Software and Data Integrity Failures", "Security Logging and Monitoring Failures", "Server-Side Request Forgery %28SSRF%29",
+)
+PIPELINE_RISKS = {
+    3: "Dependency Chain Abuse", 4: "Poisoned Pipeline Execution", 5: "Insufficient PBAC", 6: "Insufficient Credential Hygiene", 9: "Improper Artifact Integrity Validation",
+}
+RISKS_SITE, PIPELINE_SITE = "https://top10.owasp.org/2021/", "https://owasp.org/www-project-top-10-ci-cd-security-risks/"
+GUIDES = {
+    "ANSSI-BP-028": "https://messervices.cyber.gouv.fr/documents-guides/fr_np_linux_configuration-v2.0.pdf",
+    "ANSSI-FT-082": "https://messervices.cyber.gouv.fr/documents-guides/docker_fiche_technique.pdf",
+    "ANSSI OpenSSH": "https://messervices.cyber.gouv.fr/documents-guides/NT_OpenSSH.pdf",
+}
+
+
+def reference_url(ref: Column) -> Column:
+    """Page of a reference; a pipeline risk without a page of its own leads to the list, an unknown reference is null."""
+    weakness = F.regexp_extract(ref, r"^CWE-(\d+)\z", 1)
+    pipeline = F.regexp_extract(ref, r"^OWASP CICD-SEC-(\d+)\z", 1)
+    risks = {f"OWASP A{i:02d}:2021": f"{RISKS_SITE}A{i:02d}_2021-{title.replace(' ', '_')}/" for i, title in enumerate(RISKS_2021, 1)}
+    pages = {n: f"CICD-SEC-{n:02d}-{title.replace(' ', '-')}" for n, title in PIPELINE_RISKS.items()}
+    one = [F.when(weakness != "", F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), weakness, F.lit(".html")))]
+    one.append(F.try_element_at(F.create_map(*[F.lit(x) for kv in risks.items() for x in kv]), ref))
+    own = F.try_element_at(F.create_map(*[F.lit(x) for kv in pages.items() for x in kv]), pipeline.try_cast("int"))
+    one.append(F.when(pipeline != "", F.concat(F.lit(PIPELINE_SITE), F.coalesce(own, F.lit("")))))
+    one += [F.when(F.startswith(ref, F.lit(start)), F.lit(page)) for start, page in GUIDES.items()]
+    return F.coalesce(*one)
+
+
 def requirement_name(line: Column) -> Column:
     """Distribution named by one requirement, normalised; null when it names none."""
     text = F.regexp_replace(F.trim(line), r"^(-e|--editable)[ =]\s*", "")

@@ -387,6 +387,23 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
         S.requirement_name(F.concat(F.lit(" Name_"), k, F.lit("[x]>=1 ; y"))).alias("requirement"))
 
 
+_REFS = {
+    "CWE-": None, "OWASP A08:2021": "https://top10.owasp.org/2021/A08_2021-Software_and_Data_Integrity_Failures/", "OWASP A11:2021": None,
+    "OWASP CICD-SEC-4": "https://owasp.org/www-project-top-10-ci-cd-security-risks/CICD-SEC-04-Poisoned-Pipeline-Execution",
+    "OWASP CICD-SEC-8": "https://owasp.org/www-project-top-10-ci-cd-security-risks/", "ANSSI-BP-028 R5": "https://messervices.cyber.gouv.fr/documents-guides/fr_np_linux_configuration-v2.0.pdf",
+    "ANSSI OpenSSH R6": "https://messervices.cyber.gouv.fr/documents-guides/NT_OpenSSH.pdf", "other": None, "OWASP A10:2021": "https://top10.owasp.org/2021/A10_2021-Server-Side_Request_Forgery_%28SSRF%29/",
+}
+_REF_CASES = " ".join(f"WHEN {i} THEN {'NULL' if url is None else repr(url)}" for i, url in enumerate(_REFS.values()) if i)
+
+
+@query("reference_url", f"""SELECT p_partkey, CASE p_partkey % {len(_REFS)} WHEN 0 THEN 'https://cwe.mitre.org/data/definitions/' || p_partkey || '.html' {_REF_CASES} END AS url FROM part""")
+def reference_url(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(r) for r in _REFS]), (k % len(_REFS) + 1).cast("int"))
+    ref = F.when(kind == "CWE-", F.concat(kind, k.cast("string"))).otherwise(kind)
+    return table(spark, sf, "part").select("p_partkey", S.reference_url(ref).alias("url"))
+
+
 @query("registered_functions", """SELECT p_partkey, CASE WHEN p_retailprice % 10 >= 9 THEN 'A' WHEN p_retailprice % 10 >= 7.5 THEN 'B' WHEN p_retailprice % 10 >= 6 THEN 'C' WHEN p_retailprice % 10 >= 4 THEN 'D' ELSE 'E' END AS g,
  false AS secret, NOT contains(p_name, 'x') IS NULL AND false AS pinned, starts_with(p_brand, 'Brand#1') AS hit FROM part""")
 def registered_functions(spark: SparkSession, sf: str) -> DataFrame:
