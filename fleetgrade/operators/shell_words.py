@@ -1,23 +1,20 @@
-"""Shell lines as commands made of words, and the line rules as questions about them.
+"""Shell lines as commands made of words.
 
-A line is read once into its simple commands, those inside substitutions included. A rule asks
-for names, options, operands, redirections and neighbours in a pipeline.
+A line is read once, in Arrow batches, into its simple commands, those inside substitutions and those handed to
+another shell included. Every question about them is a Column (:mod:`fleetgrade.operators.command_rules`).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 KEYWORDS = ("if", "then", "else", "elif", "do", "while", "until", "!", "time")
 SHELLS = ("sh", "bash", "dash", "zsh", "ksh")
-DOWNLOADS = ("curl", "wget", "fetch")
-UNPACKERS = ("tar", "unzip", "bsdtar", "cpio")
-OLD_NET_TOOLS = ("arp", "ifconfig", "iwconfig", "netstat", "route")
-CHANGES_FILES = ("chmod", "chown", "cp", "install", "ln", "mkdir", "mv", "rm", "rsync", "tar")
-SYSTEM_FOLDERS = ("bin", "boot", "etc", "home", "lib", "lib64", "opt", "root", "sbin", "srv", "usr", "var")
-ACCOUNT_FILES = ("/etc/passwd", "/etc/shadow", "/etc/crontab")
-SECRET_WORDS = ("password", "passwd", "pass", "secret", "token", "apikey", "accesskey", "privatekey", "credential")
 _ASSIGN = re.compile(r"([A-Za-z_]\w*)(\[[^\]]*\])?\+?=")
 _OPERATORS = ("&&", "||", ";;", "|&", ";", "|", "&", "(", ")")
 # Commands that run the command behind them, with their options that take a value and the operands before it.
@@ -26,6 +23,9 @@ WRAPPERS = {
     "nohup": ("", 0), "parallel": ("jP", 0), "setsid": ("", 0), "stdbuf": ("ioe", 0), "sudo": ("ugpCThURDrt", 0), "time": ("fo", 0), "timeout": ("ks", 1), "xargs": ("ILnPsdEa", 0),
 }
 DEEPEST = 64
+# Characters that end or begin nothing, and those of a double-quoted string.
+_RUN = re.compile(r"[^\s\"'\\$`<>&|;()]+")
+_IN_QUOTES = re.compile(r'[^"\\$`]+')
 _REDIRECTS = ("<<<", "<<-", "&>>", ">>", "<<", ">|", ">&", "<&", "<>", "&>", ">", "<")
 
 
@@ -90,15 +90,6 @@ def base_name(word: str) -> str:
     return plain(word).removeprefix("\\").rsplit("/", 1)[-1]
 
 
-def options(args: list[str]) -> set[str]:
-    """Letters of the short options."""
-    return {c for a in args if re.match(r"-[A-Za-z]", a) for c in a[1:] if c.isalpha()}
-
-
-def operands(args: list[str]) -> list[str]:
-    return [a for a in args if not a.startswith("-")]
-
-
 def commands(code: str) -> list[Command]:
     """The commands of a line in the order in which they end."""
     found: list[Command] = []
@@ -141,7 +132,10 @@ def _quoted(s: str, i: int, found: list[Command], depth: int) -> int:
     """End of a double-quoted string; substitutions in it are read."""
     i += 1
     while i < len(s) and s[i] != '"':
-        if s[i] == "\\":
+        run = _IN_QUOTES.match(s, i)
+        if run:
+            i = run.end()
+        elif s[i] == "\\":
             i += 2
         elif depth >= DEEPEST:
             i += 1
@@ -202,6 +196,10 @@ def _level(s: str, i: int, stop: str, found: list[Command], opener: str, depth:
         command = Command(operator)
 
     while i < len(s):
+        run = _RUN.match(s, i)
+        if run:
+            word, i = word + run.group(), run.end()
+            continue
         if stop and s[i] == stop:
             end_command("")
             return i + 1
@@ -234,294 +232,52 @@ def _level(s: str, i: int, stop: str, found: list[Command], opener: str, depth:
     return i
 
 
-# ---------------------------------------------------------------- rules: each takes the commands, the code and the raw line
-
-Check = Callable[[list[Command], str, str], bool]
-
-
-def _any(test: Callable[[Command], bool]) -> Check:
-    return lambda cmds, code, raw: any(map(test, cmds))
-
-
-def _loads(word: str) -> bool:
-    """A substitution whose first command downloads."""
-    inner = plain(word)
-    return inner[:2] in ("<(", "$(") and inner[2:].lstrip().split(" ")[0] in ("curl", "wget")
-
-
-def runs_download(c: Command) -> bool:
-    if c.bare()[0] in DOWNLOADS and any(n.bare()[0] in SHELLS for n in c.following()):
-        return True
-    return (c.name.rsplit("/", 1)[-1] in SHELLS or c.name in ("source", ".")) and any(map(_loads, c.args))
-
-
-def _secret_name(name: str) -> bool:
-    return name.lower().replace("_", "").removesuffix("s").endswith(SECRET_WORDS) or name.lower().endswith("pass")
-
-
-def _pairs(c: Command) -> Iterator[tuple[str, str]]:
-    """Variables and values a command sets."""
-    for w in (*c.assigns, *(c.args if c.name in ("export", "local", "readonly", "declare", "typeset") else ())):
-        m = _ASSIGN.match(w)
-        if m:
-            yield m.group(1), w[m.end():]
-
-
-def literal_secret(c: Command) -> bool:
-    return any(_secret_name(n) and len(plain(v)) >= 4 and plain(v)[0] not in "$`( \"'" and not re.search(r"[\s\"']", plain(v)) for n, v in _pairs(c))
-
-
-# Published shapes of keys and tokens.
-TOKEN_SHAPES = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----|\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}")
-
-
-def evaluates(c: Command) -> bool:
-    return c.name == "eval" and any("$" in a or "`" in a for a in c.args)
-
-
-def _modes(c: Command) -> list[str]:
-    return operands(c.bare()[1])[:1] if c.bare()[0] == "chmod" else []
-
-
-def _symbolic(mode: str) -> Iterator[tuple[str, str, str]]:
-    for part in mode.split(","):
-        m = re.fullmatch(r"([ugoa]*)([+=])([rwxXst]+)", part)
-        if m:
-            yield m.groups()
-
-
-def world_writable(c: Command) -> bool:
-    return any(int(m[-1], 8) & 2 if re.fullmatch(r"[0-7]{3,4}", m) else any("w" in what and set(who) & {"o", "a"} for who, _, what in _symbolic(m)) for m in _modes(c))
-
-
-def set_id(c: Command) -> bool:
-    return any(int(m, 8) & 0o6000 if re.fullmatch(r"0*[0-7]{4}", m) else any("s" in what and op == "+" for _, op, what in _symbolic(m)) for m in _modes(c))
-
-
-def unchecked_peer(cmds: list[Command], code: str, raw: str) -> bool:
-    for c in cmds:
-        words = [plain(w).lower() for w in (*c.assigns, *c.words)]
-        joined = " ".join(words).replace("=", " ")
-        if c.bare()[0] == "curl" and ("k" in options(c.bare()[1]) or "--insecure" in words):
-            return True
-        if "--no-check-certificate" in words or any(w.startswith(("--trusted-host", "git_ssl_no_verify=")) for w in words):
-            return True
-        if "stricthostkeychecking no" in joined or "userknownhostsfile /dev/null" in joined or re.search(r"sslverify\s+false", joined):
-            return True
-    return False
-
-
-def plain_http(c: Command) -> bool:
-    name, args = c.bare()
-    if name not in ("curl", "wget") and not (name == "git" and args[:1] == ["clone"]):
-        return False
-    hosts = (plain(a)[7:] for a in args if plain(a).startswith("http://"))
-    return any(not re.match(r"localhost\b|127\.|\[::1\]", h) for h in hosts)
-
-
-def _removes(c: Command) -> list[str]:
-    """Operands of a recursive rm."""
-    name, args = c.bare()
-    return operands(args) if name == "rm" and options(args) & {"r", "R"} else []
-
-
-def removes_variable(c: Command) -> bool:
-    """A path in which a variable that may be empty stands before a slash, or is all there is and not quoted."""
-    words = _removes(c)
-    risky = (re.search(r"\$(\w+|\{\w+\})/", re.sub("[\"']", "", w)) or re.fullmatch(r"\$(\w+|\{\w+\})", w) for w in words if not w.startswith("'"))
-    return any(risky) and not any(":?" in w for w in words)
-
-
-def removes_system(c: Command) -> bool:
-    folders = "|".join(SYSTEM_FOLDERS)
-    return any(re.fullmatch(rf"/(\*|({folders})/?\*?)?", re.sub("[\"']", "", w)) for w in _removes(c))
-
-
-def _writes(c: Command, *tools: str) -> list[str]:
-    """Files a command writes by redirection or by one of the tools."""
-    name, args = c.bare()
-    return [plain(t) for op, t in c.redirects if op.startswith((">", "&>"))] + ([plain(a) for a in operands(args)] if name in tools else [])
-
-
-def writes_tmp(c: Command) -> bool:
-    return any(re.match(r"/(var/)?tmp/.", t) for t in _writes(c, "tee", "touch"))
-
-
-def open_path(c: Command) -> bool:
-    return any(n == "PATH" and v and {"", "."} & set(plain(v).split(":")) for n, v in _pairs(c))
-
-
-def writes_accounts(c: Command) -> bool:
-    return any("/etc/sudoers" in t or "authorized_keys" in t or "/etc/cron.d/" in t or t.endswith(ACCOUNT_FILES) for t in _writes(c, "tee"))
+# ---------------------------------------------------------------- commands as data
 
 
-def shown_password(c: Command) -> bool:
-    name, args = c.bare()
-    fed = c.name == "sudo" and "S" in options(c.args) and c.before == "|" and c.prev is not None and c.prev.name == "echo"
-    given = name.startswith("mysql") and any(re.match(r"-p[^-]", a) for a in args)
-    named = any(a.startswith("--password=") and len(a) > 11 for a in args) or any(a == "--password" for a in args[:-1])
-    return fed or given or named or name == "sshpass" and any(a.startswith("-p") for a in args)
-
-
-def sources_foreign(c: Command) -> bool:
-    return c.name in ("source", ".") and any(plain(a).startswith(("/tmp/", "/var/tmp/", "http://", "https://")) for a in c.args[:1])
-
-
-def traces(c: Command) -> bool:
-    return c.name == "set" and (any(re.fullmatch(r"-[A-Za-z]*x[A-Za-z]*", a) for a in c.args) or any(a == "-o" and b == "xtrace" for a, b in zip(c.args, c.args[1:])))
-
-
-def reads_openly(c: Command) -> bool:
-    secret = any(re.fullmatch(r"pass|passwd|password|secret|token|pin", w.lower()) for a in operands(c.args) for w in re.findall(r"\w+", a))
-    return c.name == "read" and secret and "s" not in options(c.args)
-
-
-def sudo_by_name(c: Command) -> bool:
-    rest = operands(c.args)
-    return c.name == "sudo" and bool(rest) and c.args[-1] is not None and rest[0][:1].isalpha()
-
-
-def unpacks_download(c: Command) -> bool:
-    return c.bare()[0] in ("curl", "wget") and any(n.bare()[0] in UNPACKERS for n in c.following())
-
-
-def forwards_agent(c: Command) -> bool:
-    said = " ".join(c.args).replace("=", " ")
-    return c.bare()[0] in ("ssh", "scp", "sftp") and ("A" in {x for a in c.args if re.match(r"-[A-Za-z]+$", a) for x in a} or "ForwardAgent yes" in said or "PermitLocalCommand yes" in said)
-
-
-def exports_secret(c: Command) -> bool:
-    names = (re.match(r"\w*", a).group() for a in c.args) if c.name == "export" else ()
-    return any(n == n.upper() and any(w in n for w in ("PASSWORD", "PASSWD", "SECRET", "TOKEN", "APIKEY", "API_KEY", "ACCESSKEY", "ACCESS_KEY", "CREDENTIAL")) for n in names)
-
-
-def unsigned_packages(cmds: list[Command], code: str, raw: str) -> bool:
-    words = {w.strip("\"'") for w in re.split(r"[\s;|&]+", raw)}
-    if words & {"--allow-unauthenticated", "--allow-insecure-repositories", "--no-gpg-check", "--no-gpg-checks", "--nogpgcheck"}:
-        return True
-    if re.search(r"gpgcheck\s*=\s*0", raw) or re.search(r"\[[^\]]*trusted=yes[^\]]*\]", raw):
-        return True
-    return "rpm" in words and bool(words & {"--nosignature", "--nodigest"}) or "apk" in words and "--allow-untrusted" in words
-
-
-def floating_clone(c: Command) -> bool:
-    if c.words[:2] != ["git", "clone"]:
-        return False
-    said = " ".join(plain(a) for a in c.args).replace("=", " ").split(" ")
-    return not any(o in ("-b", "--branch") and re.match(r"v?\d|\$", v) for o, v in zip(said, said[1:]))
-
-
-def unguarded_cd(c: Command) -> bool:
-    return c.name == "cd" and c.after == "" and c.before != "$("
-
-
-def unquoted_test(c: Command) -> bool:
-    binary = ("=", "==", "!=", "-eq", "-ne", "-lt", "-gt", "-le", "-ge")
-    return c.name == "[" and len(c.args) > 2 and bool(re.fullmatch(r"\$(\w+|\{\w+\})", c.args[0])) and c.args[1] in binary
-
-
-def raw_read(c: Command) -> bool:
-    return c.name == "read" and "r" not in options(c.args)
-
+COMMAND_FIELDS = (
+    ("name", "string"), ("base", "string"), ("words", "array<string>"), ("args", "array<string>"), ("bare", "array<string>"), ("assigns", "array<string>"),
+    ("keywords", "array<string>"), ("redirects", "array<struct<op:string,to:string>>"), ("before", "string"), ("after", "string"), ("prev", "string"),
+    ("next", "string"), ("next_args", "array<string>"), ("down", "array<string>"), ("inner", "boolean"),
+)
+COMMAND = "struct<" + ",".join(f"{name}:{kind}" for name, kind in COMMAND_FIELDS) + ">"
+_TEXTS = pa.list_(pa.string())
+_ARROW = {"string": pa.string(), "array<string>": _TEXTS, "boolean": pa.bool_(), "array<struct<op:string,to:string>>": pa.list_(pa.struct([("op", pa.string()), ("to", pa.string())]))}
+_STRUCT = pa.struct([(name, _ARROW[kind]) for name, kind in COMMAND_FIELDS])
 
-def loops_over(name: str) -> Check:
-    opened = re.compile(rf"(\$\(|`)\s*{name}\b")
-    return _any(lambda c: c.name == "for" and c.args[1:2] == ["in"] and any(opened.match(a) for a in c.args[2:3]))
 
+def _fields(c: Command, inner: bool) -> tuple:
+    base, bare = c.bare()
+    beside = c.next if c.after in ("|", "|&") else None
+    return (
+        c.name, base, c.words, c.args, bare, c.assigns, c.keywords, [{"op": o, "to": t} for o, t in c.redirects], c.before, c.after, c.prev.name if c.prev else "",
+        beside.name if beside else "", beside.args if beside else [], [n.bare()[0] for n in c.following()], inner)
 
-def loose_arguments(cmds: list[Command], code: str, raw: str) -> bool:
-    outside = re.sub(r'"(?:\\.|[^"\\])*"|\'[^\']*\'', '""', code)
-    return bool(re.search(r'(?<![\w$\\"])\$[@*](?![\w"])', outside))
 
+def commands_of(code: Column) -> Column:
+    """The commands of a line as an array of :data:`COMMAND`; null for a null line.
 
-def unchecked_change(cmds: list[Command], code: str, raw: str) -> bool:
-    return bool(re.match(r"\s*[a-z]+\s", code)) and code.split(None, 1)[0] in CHANGES_FILES and "||" not in code and "&&" not in code
+    ``name`` is the first word, ``base`` the program behind what only runs it, with its arguments ``bare``. ``before`` and
+    ``after`` are the operators around it (``$(`` opens a substitution), ``prev`` and ``next`` its neighbours, ``down`` the programs
+    further down the pipeline. ``inner`` commands are handed to another shell, user, host or to find.
+    """
 
+    def run(code: pa.Array) -> pa.Array:
+        ends, rows, known = [0], [], []
+        for line in code.to_pylist():
+            known.append(line is not None)
+            if line and not line.isspace():
+                own = commands(line)
+                rows += [_fields(c, i >= len(own)) for i, c in enumerate(with_inner(own))]
+            ends.append(len(rows))
+        columns = zip(*rows) if rows else [[] for _ in COMMAND_FIELDS]
+        flat = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _STRUCT)], fields=list(_STRUCT))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([not k for k in known], pa.bool_()))
 
-def moves_ifs(c: Command) -> bool:
-    return not c.words and len(c.assigns) == 1 and c.assigns[0].startswith("IFS=") and c.before in ("", ";") and not re.match(r'IFS="?\$', c.assigns[0])
+    return F.arrow_udf(run, f"array<{COMMAND}>")(code)
 
 
-def partial_trap(c: Command) -> bool:
-    signals = {s.removeprefix("SIG") for s in c.args[1:]}
-    return c.name == "trap" and bool(signals & {"INT", "TERM", "HUP", "QUIT", "ERR"}) and not signals & {"EXIT", "0"} and c.after == ""
-
-
-def asks_terminal(cmds: list[Command], code: str, raw: str) -> bool:
-    return any(c.name == "read" and c.before not in ("|", "|&") and "while" not in c.keywords for c in cmds) and "<" not in code
-
-
-def todo(cmds: list[Command], code: str, raw: str) -> bool:
-    return bool(re.search(r"\b(TODO|FIXME|XXX|HACK)\b", raw.partition("#")[2]))
-
-
-def backticks(cmds: list[Command], code: str, raw: str) -> bool:
-    return code.count("`") > 1 and "``" not in code
-
-
-def beyond_posix(cmds: list[Command], code: str, raw: str) -> bool:
-    for c in cmds:
-        names = {c.name, *(c.words[:1])}
-        if names & {"[[", "function", "source", "let", "declare", "typeset", "select"} or any(op in ("<<<", "&>", "&>>") for op, _ in c.redirects):
-            return True
-        if c.name == "[" and "==" in c.args or c.name == "echo" and any(re.fullmatch(r"-[neE]+", a) for a in c.args[:1]):
-            return True
-        if any(re.match(r"\w+=\(", a) for a in c.assigns):
-            return True
-    outside = re.sub(r"'[^']*'", "", code)
-    return "$'" in code or "((" in code or "[[" in outside or bool(re.search(r"\$\{\w+:-?\d|\$\{\w+//?[^}]|\$(RANDOM|BASH_\w+|PIPESTATUS)\b", code))
-
-
-def named(*names: str) -> Check:
-    return _any(lambda c: c.name in names)
-
-
-def needless_cat(c: Command) -> bool:
-    return c.name == "cat" and c.after == "|" and len(c.args) == 1 and not c.args[0].startswith("-") and not c.redirects
-
-
-def _piped(first: tuple[str, ...], second: tuple[str, ...], *args: str) -> Check:
-    return _any(lambda c: c.name in first and c.after == "|" and c.next is not None and c.next.name in second and all(a in c.next.args for a in args))
-
-
-def echo_of_variable(c: Command) -> bool:
-    return c.before == "$(" and c.after == "" and c.name == "echo" and len(c.args) == 1 and bool(re.fullmatch(r"[\"']?\$(\w+|\{\w+\})[\"']?", c.args[0]))
-
-
-def cat_of_file(c: Command) -> bool:
-    return c.before == "$(" and c.after == "" and c.name == "cat" and bool(c.args) and not c.redirects
-
-
-def costly_substitution(cmds: list[Command]) -> bool:
-    """A process per round of a loop for what an expansion does."""
-    return any(
-        c.before == "$(" and (c.name in ("basename", "dirname", "expr") or c.name == "echo" and c.after == "|" and c.next is not None and c.next.name in ("cut", "tr", "sed", "awk"))
-        for c in cmds)
-
-
-CHECKS: dict[str, Check] = {
-    "SEC001": _any(runs_download), "SEC002": _any(literal_secret), "SEC002 shape": lambda cmds, code, raw: bool(TOKEN_SHAPES.search(raw)),
-    "SEC003": _any(evaluates), "SEC004": _any(world_writable), "SEC005": unchecked_peer, "SEC006": _any(plain_http), "SEC007": _any(removes_variable),
-    "SEC008": _any(removes_system), "SEC009": _any(writes_tmp), "SEC010": _any(shown_password), "SEC011": _any(sources_foreign), "SEC012": _any(traces),
-    "SEC013": _any(set_id), "SEC014": _any(reads_openly), "SEC015": _any(sudo_by_name), "SEC016": _any(open_path), "SEC018": _any(writes_accounts), "SEC019": _any(unpacks_download),
-    "SEC020": _any(forwards_agent), "SEC021": _any(exports_secret), "SEC025": unsigned_packages, "SEC026": _any(floating_clone),
-    "ROB005": _any(unguarded_cd), "ROB006": _any(unquoted_test), "ROB007": _any(raw_read), "ROB008": loops_over("ls"), "ROB010": loose_arguments,
-    "ROB011": unchecked_change, "ROB012": _any(moves_ifs), "ROB013": _any(partial_trap), "ROB015": asks_terminal, "MNT006": todo, "MNT007": backticks,
-    "POR003": beyond_posix, "POR004": named("which"), "POR005": named("egrep", "fgrep"), "POR007": named(*OLD_NET_TOOLS), "PERF001": _any(needless_cat),
-    "PERF002": _piped(("grep",), ("wc",), "-l"), "PERF003": named("expr"),
-    "PERF005": lambda cmds, code, raw: _piped(("grep",), ("grep", "awk"))(cmds, code, raw) or _piped(("sed",), ("sed",))(cmds, code, raw),
-    "PERF006": _piped(("ps",), ("grep",)), "PERF007": loops_over("seq"), "PERF008": _any(echo_of_variable), "PERF009": _any(cat_of_file),
-}
-
-
-def failing(raw: str, code: str) -> list[str]:
-    """Names of the checks that a line fails; ``PERF004`` stands for any place, and counts in loops only."""
-    if raw.startswith("#!") or not raw:
-        return []
-    cmds = commands(code) if code and not code.isspace() else []
-    # What a command hands on to another shell is looked at for what it endangers, not for how it is written.
-    every = with_inner(cmds)
-    found = [name for name, check in CHECKS.items() if check(every if name.startswith("SEC") else cmds, code, raw)]
-    if costly_substitution(cmds):
-        found.append("PERF004")
-    return found
+def command_rows(lines: DataFrame) -> DataFrame:
+    """One row per command of ``lines(path, line, code)``: path, line, number in the line from 1, and the fields of :data:`COMMAND`."""
+    found = lines.filter(F.trim("code") != "").select("path", "line", F.posexplode(commands_of(F.col("code"))).alias("number", "c"))
+    return found.select("path", "line", (F.col("number") + 1).alias("number"), "c.*")
