@@ -11,6 +11,7 @@ from fleetgrade.operators import custom as UD
 from fleetgrade.operators import fixes as FX
 from fleetgrade.operators import lines as LN
 from fleetgrade.operators import python as PY
+from fleetgrade.operators import rule_table as RT
 from fleetgrade.functions import scalars as S
 from fleetgrade.sources import sinks as SK
 from fleetgrade.workload import event_views as V
@@ -214,6 +215,32 @@ def validate_rules(spark: SparkSession, sf: str) -> DataFrame:
     return UD.validate_rules(rules)
 
 
+# One rule per word of the benchmark texts: as many rules as the table has words.
+WORD_RULES_SQL = "rw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark)"
+
+
+def word_rules(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1))).alias("w")).distinct()
+    none = F.lit(None).cast("string")
+    return words.select(
+        F.concat(F.lit("W-"), F.upper("w")).alias("id"), F.concat(F.lit("(?<![A-Za-z])"), "w", F.lit("(?![A-Za-z])")).alias("pattern"), F.lit("a word of the benchmark").alias("message"),
+        (F.length("w") % 2 == 0).alias("ignore_case"), F.when(F.length("w") > 8, "high").otherwise("low").alias("severity"), F.lit("security").alias("category"), F.lit("any").alias("language"),
+        (F.length("w") % 13 == 0).alias("absent"), F.when(F.endswith("w", F.lit("n")) & (F.length("w") % 13 != 0), "<$0>").alias("replace"), F.lit(False).alias("comments"), none.alias("hint"), none.alias("url"))
+
+
+@query("rule_table", f"""WITH {SQ.DOC_LINES}, {WORD_RULES_SQL}, tok AS (SELECT path, line, unnest(regexp_extract_all(raw, '[A-Za-z]+')) AS t FROM dln WHERE NOT regexp_matches(raw, '^\\s*#')),
+ hit AS (SELECT path, line, w, count(*) AS n FROM tok JOIN rw ON lower(t) = w AND (length(w) % 2 = 0 OR t = w) GROUP BY ALL)
+ SELECT path, 'W-' || upper(w) AS rule, CASE WHEN length(w) > 8 THEN 'high' ELSE 'low' END AS severity, count(*) AS lines, CAST(min(line) AS INTEGER) AS first_line, CASE WHEN w LIKE '%n' THEN CAST(sum(n) AS BIGINT) ELSE 0 END AS edits
+ FROM hit WHERE length(w) % 13 <> 0 GROUP BY path, w
+ UNION ALL SELECT path, 'W-' || upper(w), 'high', 1, 0, 0 FROM (SELECT DISTINCT path FROM dl0) d CROSS JOIN rw WHERE length(w) % 13 = 0 AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.path = d.path AND hit.w = rw.w)""")
+def rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the benchmark as a rule of its own over every line of the documents."""
+    files, lines = _docs(spark, sf)
+    out = RT.custom_rules(lines, word_rules(spark, sf), files.select("path"))
+    return out.groupBy("path", "rule", "severity").agg(
+        F.count("*").alias("lines"), F.min("line").alias("first_line"), F.sum(F.size("edits").cast("bigint")).alias("edits"))
+
+
 @query("document_scores", f"""WITH {SQ.DOC_LINES}, f AS (
  SELECT path, 'security' AS category, 'custom' AS tool, 'MAIL' AS rule, 'high' AS severity FROM dln WHERE regexp_matches(raw, '[a-z0-9.]+@([a-z]+)[0-9]*\\.example\\.(com|org|net)') AND NOT regexp_matches(raw, '^\\s*#')
  UNION ALL SELECT path, 'security', 'custom', 'TOKEN', 'critical' FROM dln WHERE regexp_matches(raw, 'token = "[0-9a-f]{{40}}"') AND NOT regexp_matches(raw, '^\\s*#')
