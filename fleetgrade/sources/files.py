@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,73 @@ def ignored(path: Column, patterns: Iterable[str]) -> Column:
     return F.exists(prefixes, verdict)
 
 
+IGNORE_SCHEMA = "folder string, ord int, pattern string"
+_WILD = re.compile(r"[*?\[\]\\]")
+
+
+def ignore_table(rules: DataFrame) -> DataFrame:
+    """(folder, ord, key, regex, negated, only): parsed lines of ``rules(folder, ord, pattern)``, one row per line that says something.
+
+    ``key`` is what a path below the folder must show before the pattern is tried: its whole text (``=``) or its name (``/``) where the
+    pattern is literal, its ending (``.``) for ``*.ending``, its first part (``^``) for a pattern that starts with one, nothing (empty) else.
+    """
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for regex, negated, only in parse_ignore([r["pattern"] or ""]):
+                    line = r["pattern"].rstrip().removeprefix("!").removeprefix("\\").rstrip("/")
+                    rows.append((r["folder"] or "", r["ord"], _ignore_key(line), regex, negated, only))
+            columns = zip(*rows) if rows else [[]] * 6
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["folder", "ord", "key", "regex", "negated", "only"])
+
+    return rules.select("folder", "ord", "pattern").mapInArrow(parse, "folder string, ord int, key string, regex string, negated boolean, only boolean")
+
+
+def _ignore_key(line: str) -> str:
+    body = line.removeprefix("/")
+    if not _WILD.search(body):
+        return ("=" if "/" in line else "/") + body
+    if "/" not in line:
+        end = re.fullmatch(r"\*\.([^.*?\[\]\\]+)", body)
+        return "." + end.group(1) if end else ""
+    head = body.split("/")[0]
+    return "" if _WILD.search(head) or "/" not in body else "^" + head
+
+
+def ignored_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct (path) of the files that ignore files of the folders above them exclude: ``rules(folder, ord, pattern)``, paths and
+    patterns relative to the folder; the folder of the whole tree is empty.
+
+    For each folder with rules the last pattern that matches wins, for the path or any folder above it; what is excluded by one
+    folder is not brought back by another. Folders, not files, carry the tests of what is above: each is tested once.
+    A path meets only the patterns whose key it shows, by an equi-join.
+    """
+    parsed = ignore_table(rules)
+    parts = F.filter(F.split("path", "/"), lambda p: (p != "") & (p != "."))
+    named = files.select("path", parts.alias("parts")).distinct()
+    upto = lambda n: F.array_join(F.slice(F.col("parts"), F.lit(1), n), "/")
+    above = named.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.struct(upto(n).alias("at"), (n < F.size("parts")).alias("dir")))).alias("x")).select("path", "x.*")
+    # Each folder and each file once, with every folder of rules that may stand above it.
+    tested = above.select("at", "dir").distinct().withColumn("parts", F.split("at", "/"))
+    holders = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda n: F.struct(upto(n).alias("folder"), F.array_join(F.slice(F.col("parts"), n + 1, F.lit(2**30)), "/").alias("below")))
+    tested = tested.select("at", "dir", F.explode(holders).alias("h")).select("at", "dir", "h.*").join(parsed.select("folder").distinct(), "folder", "left_semi")
+    name = F.element_at(F.split("below", "/"), -1)
+    keys = F.array_compact(F.array(
+        F.lit(""), F.concat(F.lit("="), "below"), F.concat(F.lit("/"), name), F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))),
+        F.concat(F.lit("^"), F.substring_index("below", "/", 1))))
+    met = tested.select("folder", "at", "dir", "below", F.explode(keys).alias("key")).join(parsed, ["folder", "key"])
+    met = met.filter((F.col("dir") | ~F.col("only")) & F.rlike("below", F.col("regex")))
+    verdict = met.groupBy("folder", "at", "dir").agg(F.max_by("negated", "ord").alias("negated")).filter(~F.col("negated")).select("at", "dir").distinct()
+    return above.join(verdict, ["at", "dir"]).select("path").distinct()
+
+
+def ignore_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files that no ignore file above them excludes. No pattern enters the plan; a file with a null path stays."""
+    return files.join(ignored_by_rules(files.select("path"), rules), "path", "left_anti")
+
+
 def ignore_paths(files: DataFrame, patterns: Iterable[str]) -> DataFrame:
     """Drop ignored files. The patterns are a config list, so this is one filter without a join."""
     return files.filter(~ignored(F.col("path"), list(patterns)))

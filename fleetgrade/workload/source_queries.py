@@ -102,6 +102,31 @@ def ignore_paths(spark: SparkSession, sf: str) -> DataFrame:
     return SC.ignore_paths(_paths(spark, sf), patterns).select("path")
 
 
+# Lines of the ignore files of three repositories, of one folder in each and of the whole tree.
+IGNORE_LINES = {
+    "": ("# everywhere", "node_modules/", ".cache"),
+    "r1": ("*.txt", "!/k1*/notes.txt", "build/", "lib.tar.gz"),
+    "r2": ("/src", "k*[02468]/", "!k12/"),
+    "r3": ("src/**/Makefile", "/src/k3*/tool", "*.gz", "!lib.tar.gz"),
+    "r3/build": ("out/*/a.sh", "conf.yaml"),
+}
+
+
+@query("ignore_by_rules", f"""WITH {PATH_SQL} SELECT path FROM pth WHERE k % 11 NOT IN (0, 1) AND CASE k % 5
+  WHEN 1 THEN NOT (k % 11 = 2 OR name = 'lib.tar.gz' OR (name = 'notes.txt' AND NOT regexp_matches(path, '^r1/k1[0-9]*/notes\\.txt$')))
+  WHEN 2 THEN NOT (k % 11 = 3 OR (k % 2 = 0 AND k <> 12))
+  WHEN 3 THEN NOT (k % 11 = 3 AND name = 'Makefile' OR regexp_matches(path, '^r3/src/k3[0-9]*/tool$') OR (k % 11 = 2 AND name IN ('a.sh', 'conf.yaml')))
+  ELSE true END""")
+def ignore_by_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every repository with ignore rules of its own, delivered as a table for the repositories that the files have."""
+    paths = _paths(spark, sf)
+    repos = paths.select(F.substring_index("path", "/", 1).alias("repo")).distinct()
+    told = F.create_map(*[x for folder, lines in IGNORE_LINES.items() for x in (F.lit(folder), F.array(*[F.lit(p) for p in lines]))])
+    held = repos.select(F.explode(F.array(F.lit(""), "repo", F.concat("repo", F.lit("/build")))).alias("folder")).distinct()
+    rules = held.select("folder", F.posexplode(F.try_element_at(told, F.col("folder"))).alias("ord", "pattern"))
+    return SC.ignore_by_rules(paths, rules).select("path")
+
+
 @query("glob_targets", f"""WITH {PATH_SQL} SELECT path FROM pth WHERE (name = 'a.sh' AND k % 11 NOT IN (0, 1)) OR (path LIKE 'r2/%' AND name = 'tool' AND k % 11 NOT IN (0, 1)) OR regexp_matches(path, '^r4/k[0-9]/[^/]*\\.[Pt]..?$')""")
 def glob_targets(spark: SparkSession, sf: str) -> DataFrame:
     p = _paths(spark, sf)
