@@ -13,6 +13,7 @@ from fleetgrade.operators import lines as LN
 from fleetgrade.operators import python as PY
 from fleetgrade.operators import rule_table as RT
 from fleetgrade.functions import scalars as S
+from fleetgrade.functions.tables import register_tables
 from fleetgrade.sources import sinks as SK
 from fleetgrade.workload import event_views as V
 from fleetgrade.workload import finding_queries as FQ
@@ -439,6 +440,23 @@ def registered_functions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, grade(p_retailprice % 10) AS g, is_secret_name(p_name) AS secret, is_pinned_image(p_name) AS pinned, matches_rule('Brand#1*', p_brand) AS hit FROM fleetgrade_part")
 
 
+# One shell line per order, and its commands in the order in which they end.
+_ORDER_LINE = ("X=1 nohup curl -s -o c", "o_custkey", " http://h/", "o_orderkey", " | tee out && echo \"$(date -d ", "o_orderkey", ")\" > log; bash -c 'rm -r ", "o_orderkey", "'")
+_ORDER_COMMANDS = (
+    (1, "nohup", "curl", "'-s -o c' || o_custkey || ' http://h/' || o_orderkey", "", "|", False), (2, "tee", "tee", "'out'", "|", "&&", False), (3, "date", "date", "'-d ' || o_orderkey", "$(", "", False),
+    (4, "echo", "echo", "'\"$(date -d ' || o_orderkey || ')\"'", "&&", ";", False), (5, "bash", "bash", "'-c ''rm -r ' || o_orderkey || ''''", ";", "", False), (6, "rm", "rm", "'-r ' || o_orderkey", "", "", True))
+
+
+@query("shell_commands", " UNION ALL ".join(
+    f"SELECT o_orderkey, {n} AS number, '{name}' AS name, '{base}' AS base, {bare} AS bare, '{before}' AS before, '{after}' AS after, {inner} AS inner FROM orders" for n, name, base, bare, before, after, inner in _ORDER_COMMANDS))
+def shell_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """The table function in SQL, over a shell line of each order."""
+    register_tables(spark)
+    parts = [F.col(p).cast("string") if p.startswith("o_") else F.lit(p) for p in _ORDER_LINE]
+    lines = table(spark, sf, "orders").select("o_orderkey", F.concat(*parts).alias("code"))
+    return spark.sql("SELECT o_orderkey, number, name, base, array_join(bare, ' ') AS bare, before, after, inner FROM shell_commands(TABLE({lines}))", lines=lines)
+
+
 @query("shannon_entropy", """WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0),
  f AS (SELECT doc_id, n, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL) SELECT doc_id, round(-sum((k::DOUBLE / n) * log2(k::DOUBLE / n)), 6) AS bits FROM f GROUP BY doc_id""")
 def shannon_entropy(spark: SparkSession, sf: str) -> DataFrame:
