@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgrade import dims
 from fleetgrade.functions import scalars as S
-from fleetgrade.operators.prefix import occurrence, running_sums
+from fleetgrade.operators.prefix import LINE_CHUNK, occurrence, running_sums
 from fleetgrade.session import cut
 
 
@@ -49,7 +49,7 @@ def match_baseline(files: DataFrame, baseline: DataFrame) -> DataFrame:
 def multiset_states(before: DataFrame, after: DataFrame, keys: list[str], item: str) -> DataFrame:
     """Rows of ``after`` marked new or unchanged: the first k copies of an item known k times are unchanged."""
     known = before.groupBy(*keys, item).agg(F.count("*").alias("_known"))
-    numbered = occurrence(after, [*keys, item], "position", name="_nth")
+    numbered = occurrence(after, [*keys, item], "position", name="_nth", chunk=LINE_CHUNK)
     joined = numbered.join(known, [*keys, item], "left")
     unchanged = F.col(item).isNotNull() & (F.col("_nth") <= F.coalesce("_known", F.lit(0)))
     return joined.withColumn("state", F.when(unchanged, "unchanged").otherwise("new")).drop("_nth", "_known")

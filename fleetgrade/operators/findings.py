@@ -13,7 +13,7 @@ from fleetgrade import dims
 from fleetgrade.catalog import RULES
 from fleetgrade.functions import scalars as S
 from fleetgrade.operators.graph import connected
-from fleetgrade.operators.prefix import next_value, occurrence
+from fleetgrade.operators.prefix import LINE_CHUNK, next_value, occurrence
 from fleetgrade.session import cut
 
 EDIT = "struct<line:int,column:int,end_line:int,end_column:int,replacement:string,rule:string>"
@@ -535,7 +535,7 @@ def fingerprint(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Line-independent fingerprint: tool, rule, squeezed text of the line, and its occurrence."""
     text = lines.select("path", "line", S.collapse_ws(F.col("raw")).alias("_text"))
     joined = findings.join(text, ["path", "line"], "left").withColumn("_text", F.coalesce("_text", F.lit("")))
-    ranked = occurrence(joined, ["path", "tool", "rule", "_text"], "position", name="_n")
+    ranked = occurrence(joined, ["path", "tool", "rule", "_text"], "position", name="_n", chunk=LINE_CHUNK)
     key = F.concat_ws("|", "tool", "rule", "_text", F.col("_n").cast("string"))
     return ranked.withColumn("fingerprint", S.fnv1a64(key)).drop("_text", "_n")
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+# For positions that leave room for a thousand rows a line: about as many lines as CHUNK has rows.
+LINE_CHUNK = CHUNK * 1000
 
 
 def _chunked(df: DataFrame, position: str, chunk: int) -> DataFrame:

@@ -134,7 +134,9 @@ def analyze(
 
     raised = FD.escalate(FD.enrich(all_kept).join(settings, "path"), F.col("s.contexts"))
     shaped = FD.apply_config(raised, F.col("s.disabled"), F.col("s.overrides")).drop("s")
-    marked = cut(FD.attach_source(FD.fingerprint(shaped, source), source, raw))
+    # The lines of the fleet meet the findings once; fingerprints and snippets read what that leaves.
+    texts = cut(source.join(all_kept.select("path", "line").distinct(), ["path", "line"], "left_semi"))
+    marked = cut(FD.attach_source(FD.fingerprint(shaped, texts), texts, raw))
     lexed = LN.mask_lines(model.filter(F.col("host_kind").isNull() & (F.col("dialect") != "python")))
     touched = marked.filter(F.col("rule").isin(*FX.FIXABLE, *FX.FIX_ALIASES)).select("path", "line").distinct()
     fixed = FX.attach_fixes(marked, cut(lexed.join(touched, ["path", "line"], "left_semi")))
